@@ -1,24 +1,56 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage works on all that its predecessor kept and returns the columns of documents; the last returns the
+packed pieces.  ``run`` writes each stage's result as Parquet in the shared folder and reads it back for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlake.llm import packing
+from gridlake.llm import exact, langid, neardup, packing, pii
 from gridlake.llm.queries import tokenizer_path
+from gridlake.llm.shared import cut
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the fused evidence accepts."""
+    return langid.keep_accepted(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of equal texts."""
+    return exact.drop_copies(docs)
+
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return neardup.drop_near(docs)
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data masked, disclosing terms generalised or removed."""
+    return pii.sanitise(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens placed in sequences."""
     return packing.best_fit_packing(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("best-fit packing", pack_stage)]
+STAGES = [
+    ("language ID", language_stage),
+    ("exact dedup", exact_stage),
+    ("MinHash near-dedup", near_stage),
+    ("PII", pii_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: SQL expresses none of the learned, sketched or tokenised stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridlake.llm.shared import cut
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

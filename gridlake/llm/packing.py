@@ -138,8 +138,8 @@ def pack(items: DataFrame, groups: int, capacity: int = CAPACITY, size_col: str
     Ties and repeated rows are separate items.  Items of one group meet in one task as small rows;
     ``groups`` bounds them.  No items: no rows.
     """
-    schema = StructType(items.schema.fields).add("sequence_id", "long").add("offset", "long")
     names = items.columns
+    schema = StructType(list(items.schema.fields)).add("sequence_id", "long").add("offset", "long")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(frames)
