@@ -8,7 +8,7 @@ log P(l | all) = temper * log P(text | l) + log P(declared | l) + log P(suffix |
 * host: grouped counts of declared languages, smoothed hierarchically (host -> registered domain -> all), the
   document's own declaration left out so that it does not count twice.
 
-Text that no learned language explains better than uniform trigrams do is ``und``.
+Text without letters, and longer text that no learned language explains better than uniform trigrams do, is ``und``.
 """
 
 from __future__ import annotations
@@ -31,14 +31,14 @@ BUCKETS = 1 << 15
 #: Rows that the text model is fitted on at most, those with the smallest hashes of their ids: a documented bound.
 SAMPLE = 6_000
 TEMPER, TRUST, HOST_WEIGHT, DOMAIN_WEIGHT = 0.25, 0.9, 20.0, 50.0
-#: Posterior below which a document is rejected, and the least share of non-blank bytes that are letters.
-ACCEPT = 0.5
+#: Posterior below which a document is rejected, and the trigrams from which a text can be told to be no language.
+ACCEPT, ENOUGH = 0.5, 20
 _TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
 
 def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of the lower-cased text's UTF-8 bytes, other than letters taken as one blank."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)
     letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
     folded = np.where(letter, raw, 32).astype(np.uint32)
     keep = np.ones(len(folded), bool)
@@ -192,7 +192,7 @@ def language_id(docs: DataFrame, key: Column, text: Column, declared: Column, ho
     logs = logs.withColumn("top", F.array_max("logs"))
     best = F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("logs", F.col("top")).cast("int"))
     posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
-    read = (F.col("trigrams") > 0) & (F.col("text_gain") > 0)
+    read = (F.col("trigrams") > 0) & ((F.col("text_gain") > 0) | (F.col("trigrams") < ENOUGH))
     return logs.select("key", "text_hash", F.when(read, best).otherwise("und").alias("lang"), posterior.alias("posterior"), "declared", "text_gain", (read & (posterior >= ACCEPT)).alias("accepted"))
 
 
