@@ -1,21 +1,479 @@
-"""The array engine's registered queries and their SQL."""
+"""The array engine's registered queries and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from gridlake.functions import geometry, units, values
+from gridlake.operators import dense, lookup, merge, ordering, slicing, spatial
+from gridlake.sources.catalog import ArrayCatalog
+from gridlake.sources.schema import ArraySchema, Attribute, Dimension
+from gridlake.sources.scratch import new_folder
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _simple(name: str, table: str, columns: list[str], where: Callable[[], Column] | None, sql_where: str = "TRUE") -> None:
+    """A projection and filter of one table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _read(spark, sf_dir, table)
+        return (df if where is None else df.where(where())).select(*columns)
+
+    _QUERIES[name] = run
+    _SQL[name] = f"SELECT {', '.join(columns)} FROM {table} WHERE {sql_where}"
+
+
+ORDERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+LINES = ["l_orderkey", "l_linenumber", "l_quantity"]
+CUSTOMERS = ["c_custkey", "c_acctbal", "c_mktsegment"]
+c = F.col
+
+# -- scans and projections
+_simple("scan_full", "region", ["*"], None)
+_simple("project_prune", "lineitem", ["l_orderkey", "l_quantity"], None)
+_QUERIES["project_expression"] = lambda spark, sf_dir: _read(spark, sf_dir, "lineitem").select("l_orderkey", (c("l_quantity") + 0).alias("quantity"), (c("l_extendedprice") * (1 - c("l_discount"))).alias("net"))
+_SQL["project_expression"] = "SELECT l_orderkey, l_quantity + 0 AS quantity, l_extendedprice * (1 - l_discount) AS net FROM lineitem"
+
+# -- dimension predicates
+_simple("dim_eq", "orders", ORDERS, lambda: slicing.predicate(c("o_orderkey"), 77), "o_orderkey = 77")
+_simple("dim_range", "orders", ORDERS, lambda: slicing.predicate(c("o_orderkey"), (100, 220)), "o_orderkey >= 100 AND o_orderkey <= 220")
+_simple("dim_between", "orders", ORDERS, lambda: c("o_orderkey").between(10, 20), "o_orderkey BETWEEN 10 AND 20")
+_simple("dim_not_between", "orders", ORDERS, lambda: ~c("o_orderkey").between(100, 14000), "o_orderkey NOT BETWEEN 100 AND 14000")
+_simple("dim_in", "orders", ORDERS, lambda: slicing.predicate(c("o_orderkey"), [1, 5, 9, 5]), "o_orderkey IN (1, 5, 9)")
+_simple("dim_strict", "orders", ORDERS, lambda: (c("o_orderkey") > 10) & (c("o_orderkey") < 15), "o_orderkey > 10 AND o_orderkey < 15")
+_simple("dim_and_merge", "orders", ORDERS, lambda: (c("o_orderkey") >= 1) & (c("o_orderkey") > 2) & (c("o_orderkey") < 40), "o_orderkey >= 1 AND o_orderkey > 2 AND o_orderkey < 40")
+_simple("dim_contradiction", "orders", ORDERS, lambda: (c("o_orderkey") == 1) & (c("o_orderkey") == 3), "o_orderkey = 1 AND o_orderkey = 3")
+_simple("dim_range_and_in", "orders", ORDERS, lambda: (c("o_orderkey") >= 2) & c("o_orderkey").isin(1, 3), "o_orderkey >= 2 AND o_orderkey IN (1, 3)")
+_simple("subarray_2d", "lineitem", LINES, lambda: slicing.subarray({"l_orderkey": (10, 500), "l_linenumber": (2, 4)}), "l_orderkey BETWEEN 10 AND 500 AND l_linenumber BETWEEN 2 AND 4")
+_simple("multirange_2d", "lineitem", LINES, lambda: slicing.subarray({"l_orderkey": [(10, 50), (400, 420), 999], "l_linenumber": [1, 3, 7]}), "(l_orderkey BETWEEN 10 AND 50 OR l_orderkey BETWEEN 400 AND 420 OR l_orderkey = 999) AND l_linenumber IN (1, 3, 7)")
+_simple("multirange_with_contained_points", "lineitem", LINES, lambda: slicing.subarray({"l_orderkey": [(10, 50), 20, 30, 60]}), "l_orderkey BETWEEN 10 AND 50 OR l_orderkey = 60")
+_simple("tuple_in", "lineitem", LINES, lambda: slicing.any_tuple(["l_orderkey", "l_linenumber"], [(1, 1), (2, 4), (3, 2), (70, 5)]), "(l_orderkey, l_linenumber) IN ((1, 1), (2, 4), (3, 2), (70, 5))")
+_simple("str_dim_eq", "customer", CUSTOMERS, lambda: c("c_mktsegment") == "BUILDING", "c_mktsegment = 'BUILDING'")
+_simple("str_dim_in", "customer", CUSTOMERS, lambda: slicing.predicate(c("c_mktsegment"), ["BUILDING", "MACHINERY"]), "c_mktsegment IN ('BUILDING', 'MACHINERY')")
+_simple("str_dim_range", "customer", CUSTOMERS, lambda: slicing.predicate(c("c_mktsegment"), ("F", None)), "c_mktsegment >= 'F'")
+_simple("utf8_attr_eq", "documents", ["doc_id", "lang"], lambda: c("text").contains("é") & (c("lang") == "fr"), "contains(text, 'é') AND lang = 'fr'")
+
+# -- attribute predicates
+for _name, _op, _sql in (("eq", lambda: c("l_quantity") == 10, "= 10"), ("ne", lambda: c("l_quantity") != 10, "<> 10"), ("lt", lambda: c("l_quantity") < 3, "< 3"), ("le", lambda: c("l_quantity") <= 3, "<= 3"), ("gt", lambda: c("l_quantity") > 48, "> 48"), ("ge", lambda: c("l_quantity") >= 48, ">= 48"), ("between", lambda: c("l_quantity").between(10, 12), "BETWEEN 10 AND 12"), ("in", lambda: c("l_quantity").isin(1, 7, 9), "IN (1, 7, 9)")):
+    _simple(f"attr_{_name}", "lineitem", LINES, _op, f"l_quantity {_sql}")
+_simple("attr_and", "lineitem", LINES, lambda: (c("l_quantity") > 40) & (c("l_discount") < 0.05), "l_quantity > 40 AND l_discount < 0.05")
+_simple("attr_or", "lineitem", LINES, lambda: (c("l_quantity") > 49) | (c("l_discount") < 0.01), "l_quantity > 49 OR l_discount < 0.01")
+_simple("dim_or_dim", "lineitem", LINES, lambda: (c("l_orderkey") == 5) | (c("l_linenumber") == 7), "l_orderkey = 5 OR l_linenumber = 7")
+_simple("dim_or_attr", "lineitem", LINES, lambda: (c("l_orderkey") < 20) | (c("l_quantity") == 50), "l_orderkey < 20 OR l_quantity = 50")
+_simple("nested_bool", "lineitem", LINES, lambda: ((c("l_orderkey") < 300) & ((c("l_quantity") > 45) | (c("l_tax") < 0.01))) | ((c("l_linenumber") == 2) & ~(c("l_quantity") < 49)), "(l_orderkey < 300 AND (l_quantity > 45 OR l_tax < 0.01)) OR (l_linenumber = 2 AND NOT (l_quantity < 49))")
+_simple("int_literal_on_float", "customer", CUSTOMERS, lambda: c("c_acctbal") > 3, "c_acctbal > 3")
+_simple("decimal_literal_on_int", "part", ["p_partkey", "p_size"], lambda: (c("p_size") < 2.5) & (c("p_size") != 1.5), "p_size < 2.5 AND p_size <> 1.5")
+_simple("negative_float_lt", "customer", CUSTOMERS, lambda: c("c_acctbal") < 0, "c_acctbal < 0")
+_simple("function_argument", "customer", CUSTOMERS, lambda: F.abs(c("c_acctbal")) < F.lit(10) * 10, "abs(c_acctbal) < 10 * 10")
+_simple("is_null", "lineitem", ["l_orderkey", "l_linenumber"], lambda: F.nullif(c("l_linenumber"), F.lit(1)).isNull(), "nullif(l_linenumber, 1) IS NULL")
+_simple("is_not_null", "lineitem", ["l_orderkey", "l_linenumber"], lambda: F.nullif(c("l_linenumber"), F.lit(1)).isNotNull(), "nullif(l_linenumber, 1) IS NOT NULL")
+
+
+def _ts(text: str) -> Column:
+    return F.lit(text).cast("timestamp_ntz")
+
+
+EVENTS = ["event_id", "user_id", "event_type"]
+_simple("ts_range", "events", EVENTS, lambda: (c("ts") >= _ts("2024-01-05 00:00:00")) & (c("ts") < _ts("2024-01-06 12:30:00")), "ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-06 12:30:00'")
+_simple("ts_between", "events", EVENTS, lambda: c("ts").between(_ts("2024-01-10 00:00:00"), _ts("2024-01-10 23:59:59.999999")), "ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-10 23:59:59.999999'")
+_simple("ts_eq", "orders", ORDERS, lambda: c("o_orderdate") == _ts("1995-03-15 00:00:00.000"), "o_orderdate = TIMESTAMP '1995-03-15'")
+_simple("ts_in", "orders", ORDERS, lambda: c("o_orderdate").isin(_ts("1995-03-15"), _ts("1996-01-01"), _ts("1997-07-04")), "o_orderdate IN (TIMESTAMP '1995-03-15', TIMESTAMP '1996-01-01', TIMESTAMP '1997-07-04')")
+_simple("ts_year", "orders", ORDERS, lambda: F.year("o_orderdate") == 1996, "year(o_orderdate) = 1996")
+
+
+# -- aggregates
+def _agg(name: str, table: str, aggs: Callable[[], list[Column]], sql: str, where: Callable[[], Column] | None = None, tail: str = "") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _read(spark, sf_dir, table)
+        return (df if where is None else df.where(where())).agg(*aggs())
+
+    _QUERIES[name] = run
+    _SQL[name] = f"SELECT {sql} FROM {table} {tail}"
+
+
+def _sum(column: str, name: str) -> Column:
+    """A float sum that does not depend on the order of additions within the rounding."""
+    return F.round(F.sum(c(column)), 2).alias(name)
+
+
+_agg("agg_sum", "lineitem", lambda: [_sum("l_quantity", "s"), F.sum("l_linenumber").alias("n")], "round(sum(l_quantity), 2) AS s, CAST(sum(l_linenumber) AS BIGINT) AS n")
+_agg("agg_avg", "lineitem", lambda: [F.round(F.avg("l_quantity"), 6).alias("a")], "round(avg(l_quantity), 6) AS a")
+_agg("agg_min", "lineitem", lambda: [F.min("l_extendedprice").alias("m")], "min(l_extendedprice) AS m")
+_agg("agg_max", "lineitem", lambda: [F.max("l_extendedprice").alias("m")], "max(l_extendedprice) AS m")
+_agg("agg_count", "lineitem", lambda: [F.count("l_tax").alias("n"), F.count(F.lit(1)).alias("rows")], "count(l_tax) AS n, count(*) AS rows")
+_agg("agg_multi", "orders", lambda: [_sum("o_totalprice", "s"), F.round(F.avg("o_totalprice"), 4).alias("a"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.count("o_totalprice").alias("n")], "round(sum(o_totalprice), 2) AS s, round(avg(o_totalprice), 4) AS a, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(o_totalprice) AS n")
+_agg("agg_filtered", "lineitem", lambda: [_sum("l_quantity", "s"), F.count(F.lit(1)).alias("n")], "round(sum(l_quantity), 2) AS s, count(*) AS n", lambda: c("l_orderkey").between(100, 900) & (c("l_discount") > 0.02), "WHERE l_orderkey BETWEEN 100 AND 900 AND l_discount > 0.02")
+_agg("agg_dim", "orders", lambda: [F.sum("o_orderkey").alias("s"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")], "CAST(sum(o_orderkey) AS BIGINT) AS s, min(o_orderkey) AS lo, max(o_orderkey) AS hi")
+_agg("agg_string_minmax", "customer", lambda: [F.min("c_name").alias("lo"), F.max("c_name").alias("hi"), F.max(F.repeat("c_name", 3)).alias("long")], "min(c_name) AS lo, max(c_name) AS hi, max(repeat(c_name, 3)) AS long")
+_agg("agg_datetime_minmax", "events", lambda: [F.min("ts").alias("lo"), F.max("ts").alias("hi")], "min(ts) AS lo, max(ts) AS hi")
+_agg("null_aggs", "lineitem", lambda: [f(F.nullif(c("l_linenumber"), F.lit(1))).alias(n) for n, f in (("s", F.sum), ("lo", F.min), ("hi", F.max), ("n", F.count))], "CAST(sum(nullif(l_linenumber, 1)) AS BIGINT) AS s, min(nullif(l_linenumber, 1)) AS lo, max(nullif(l_linenumber, 1)) AS hi, count(nullif(l_linenumber, 1)) AS n")
+_agg("agg_empty_input", "orders", lambda: [F.sum("o_orderkey").alias("s"), F.coalesce(F.sum("o_orderkey"), F.lit(0)).alias("z"), F.count("o_orderkey").alias("n")], "CAST(sum(o_orderkey) AS BIGINT) AS s, CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS z, count(o_orderkey) AS n", lambda: c("o_orderkey") < -1, "WHERE o_orderkey < -1")
+
+
+@_register("group_by_host", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS s FROM lineitem GROUP BY ALL HAVING count(*) > 10")
+def _group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), _sum("l_quantity", "s")).where("n > 10")
+
+
+# -- joins
+@_register("join_dims", "SELECT a.conv_id, a.turn, a.role, b.text FROM conversations a JOIN conversations b USING (conv_id, turn)")
+def _join_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _read(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", "role").join(t.select("conv_id", "turn", "text"), ["conv_id", "turn"])
+
+
+@_register("join_attr", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey > 10")
+def _join_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation").where("n_nationkey > 10"), c("s_nationkey") == c("n_nationkey")).select("s_suppkey", "n_name")
+
+
+@_register("join_star3", "SELECT count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' AND c_acctbal > 0")
+def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    europe = _read(spark, sf_dir, "region").where("r_name = 'EUROPE'")
+    return _read(spark, sf_dir, "customer").where("c_acctbal > 0").join(_read(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey")).join(europe, c("n_regionkey") == c("r_regionkey")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register("join_hetero", "SELECT a.o_orderkey, b.l_linenumber FROM (SELECT CAST(o_orderkey AS DOUBLE) AS k, o_orderkey FROM orders WHERE o_orderkey < 500) a JOIN lineitem b ON a.k = b.l_orderkey")
+def _hetero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _read(spark, sf_dir, "orders").where("o_orderkey < 500").select(c("o_orderkey").cast("double").alias("k"), "o_orderkey")
+    return orders.join(_read(spark, sf_dir, "lineitem"), c("k") == c("l_orderkey")).select("o_orderkey", "l_linenumber")
+
+
+@_register("join_ts", "SELECT a.o_orderkey, b.l_orderkey, b.l_linenumber FROM orders a JOIN lineitem b ON a.o_orderdate = b.l_shipdate AND a.o_orderkey = b.l_orderkey")
+def _join_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "lineitem"), (c("o_orderdate") == c("l_shipdate")) & (c("o_orderkey") == c("l_orderkey"))).select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
+@_register("agg_over_join", "SELECT round(sum(l_quantity), 2) AS s, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_orderkey < 5000")
+def _agg_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").where("l_orderkey < 5000").join(_read(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), c("l_orderkey") == c("o_orderkey")).agg(_sum("l_quantity", "s"), F.count(F.lit(1)).alias("n"))
+
+
+@_register("batched_key_join", "SELECT o.o_orderkey, o.o_totalprice, k.l_linenumber FROM orders o JOIN (SELECT l_orderkey AS o_orderkey, l_linenumber FROM lineitem WHERE l_quantity = 50 AND l_orderkey BETWEEN 200 AND 4000) k USING (o_orderkey)")
+def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _read(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_orderkey BETWEEN 200 AND 4000").select(c("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    return lookup.batched_key_join(_read(spark, sf_dir, "orders"), keys, ["o_orderkey"]).select("o_orderkey", "o_totalprice", "l_linenumber")
+
+
+# -- keys and order
+@_register("key_lookup", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 33 AND l_linenumber = 2")
+def _key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.find(_read(spark, sf_dir, "lineitem").select(*LINES), ["l_orderkey", "l_linenumber"], (33, 2))
+
+
+@_register("prefix_key", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 33")
+def _prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.find(_read(spark, sf_dir, "lineitem").select(*LINES), ["l_orderkey", "l_linenumber"], (33,), "PREFIX")
+
+
+@_register("after_key", "SELECT conv_id, turn, role FROM conversations WHERE conv_id > 40 OR (conv_id = 40 AND turn > 1)")
+def _after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.find(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"], (40, 1), "AFTER_KEY")
+
+
+@_register("key_or_prev", "SELECT conv_id, turn, role FROM conversations WHERE conv_id < 40 OR (conv_id = 40 AND turn <= 1)")
+def _prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.find(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"], (40, 1), "KEY_OR_PREV")
+
+
+def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows per conversation with their place in the order, which must be unique within it."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
+
+
+@_register("order_desc", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS place FROM conversations")
+def _order_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(_read(spark, sf_dir, "conversations").select("conv_id", "turn"), [c("turn").desc()])
+
+
+@_register("layout_row_major", "SELECT conv_id, turn, role FROM conversations WHERE conv_id < 60 ORDER BY conv_id, turn")
+def _row_major(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.row_major(_read(spark, sf_dir, "conversations").where("conv_id < 60").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+
+
+@_register("layout_col_major", "SELECT conv_id, turn, role FROM conversations WHERE conv_id < 60 ORDER BY turn, conv_id")
+def _col_major(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.col_major(_read(spark, sf_dir, "conversations").where("conv_id < 60").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+
+
+@_register("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(c("o_totalprice").desc(), "o_orderkey").limit(20)
+
+
+# -- versions of cells, through real arrays
+_ORDER_ARRAY = ArraySchema((Dimension("o_orderkey", "BIGINT", 0, 10**15, 10**6),), (Attribute("o_totalprice", "DOUBLE"), Attribute("o_orderstatus", "VARCHAR")))
+_V1 = "SELECT o_orderkey, o_totalprice, o_orderstatus, 1 AS ver FROM orders"
+_V2 = "SELECT o_orderkey, o_totalprice + 1000 AS o_totalprice, nullif(o_orderstatus, 'F') AS o_orderstatus, 2 AS ver FROM orders WHERE o_orderkey % 3 = 0"
+_V3 = "SELECT o_orderkey, -1.0 AS o_totalprice, 'X' AS o_orderstatus, 3 AS ver FROM orders WHERE o_orderkey % 5 = 0"
+
+
+def _merged(versions: int, where: str = "TRUE", dims: str = "TRUE") -> str:
+    union = " UNION ALL ".join([_V1, _V2, _V3][:versions])
+    return f"SELECT o_orderkey, o_totalprice, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY ver DESC) AS r FROM ({union}) WHERE {dims}) WHERE r = 1 AND {where}"
+
+
+def _order_table(spark: SparkSession, sf_dir: str, versions: int = 3, open_at: int | None = None, dups: bool = False):
+    from dataclasses import replace
+
+    catalog = ArrayCatalog(spark, new_folder(spark, "arrays"))
+    table = catalog.create("orders", replace(_ORDER_ARRAY, allows_dups=dups))
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    later = [orders, orders.where("o_orderkey % 3 = 0").select("o_orderkey", (c("o_totalprice") + 1000).alias("o_totalprice"), F.nullif(c("o_orderstatus"), F.lit("F")).alias("o_orderstatus")), orders.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit(-1.0).alias("o_totalprice"), F.lit("X").alias("o_orderstatus"))]
+    for stamp, rows in enumerate(later[:versions], 1):
+        table.insert(rows, timestamp=stamp)
+    return catalog.open("orders", open_at=open_at)
+
+
+_QUERIES["merge_last_write"] = lambda spark, sf_dir: _order_table(spark, sf_dir).df()
+_SQL["merge_last_write"] = _merged(3)
+_QUERIES["filter_after_merge"] = lambda spark, sf_dir: _order_table(spark, sf_dir).df().where((c("o_totalprice") > 100_000) & c("o_orderstatus").isNotNull())
+_SQL["filter_after_merge"] = _merged(3, "o_totalprice > 100000 AND o_orderstatus IS NOT NULL")
+_QUERIES["slice_before_merge"] = lambda spark, sf_dir: _order_table(spark, sf_dir).slice({"o_orderkey": [(30, 90), 1000]})
+_SQL["slice_before_merge"] = _merged(3, dims="(o_orderkey BETWEEN 30 AND 90 OR o_orderkey = 1000)")
+_QUERIES["time_travel"] = lambda spark, sf_dir: _order_table(spark, sf_dir, open_at=2).df()
+_SQL["time_travel"] = _merged(2)
+_QUERIES["dups_kept"] = lambda spark, sf_dir: _order_table(spark, sf_dir, dups=True).df().groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("s"))
+_SQL["dups_kept"] = f"SELECT o_orderkey, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM ({_V1} UNION ALL {_V2} UNION ALL {_V3}) GROUP BY o_orderkey"
+_QUERIES["merge_operator"] = lambda spark, sf_dir: merge.last_write_wins(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice"), ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_extendedprice"])
+_SQL["merge_operator"] = "SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_extendedprice DESC) AS r FROM lineitem) WHERE r = 1"
+
+
+@_register("non_empty_domain", "SELECT min(l_orderkey) AS l_orderkey_min, max(l_orderkey) AS l_orderkey_max, min(l_linenumber) AS l_linenumber_min, max(l_linenumber) AS l_linenumber_max FROM lineitem")
+def _domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.non_empty_domain(_read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@_register("dense_fill", """WITH cells AS (SELECT l_linenumber, l_suppkey, CAST(count(*) AS INTEGER) AS n, max(nullif(l_returnflag, 'A')) AS flag FROM lineitem WHERE l_quantity > 45 GROUP BY ALL),
+g AS (SELECT CAST(a.i AS BIGINT) AS l_linenumber, CAST(b.i AS BIGINT) AS l_suppkey FROM generate_series(1, 9) a(i), generate_series(0, 120) b(i))
+SELECT g.l_linenumber, g.l_suppkey, CASE WHEN c.n IS NULL THEN -2147483648 ELSE c.n END AS n, CASE WHEN c.n IS NULL THEN 'none' ELSE c.flag END AS flag FROM g LEFT JOIN cells c USING (l_linenumber, l_suppkey)""")
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _read(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy(c("l_linenumber").cast("bigint").alias("l_linenumber"), c("l_suppkey").cast("bigint").alias("l_suppkey")).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.nullif(c("l_returnflag"), F.lit("A"))).alias("flag"))
+    return dense.dense_fill(cells, {"l_linenumber": (1, 9), "l_suppkey": (0, 120)}, {"n": F.lit(-2147483648), "flag": F.lit("none")})
+
+
+# -- schema work
+def _evolving(spark: SparkSession, sf_dir: str):
+    catalog = ArrayCatalog(spark, new_folder(spark, "arrays"))
+    table = catalog.create("orders", _ORDER_ARRAY)
+    orders = _read(spark, sf_dir, "orders")
+    table.insert(orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), timestamp=1)
+    return table, orders
+
+
+@_register("alter_add_col", "SELECT o_orderkey, o_totalprice, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority END AS note, CASE WHEN o_orderkey % 7 = 0 THEN 9 ELSE 5 END AS level FROM orders")
+def _add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, orders = _evolving(spark, sf_dir)
+    table.alter(add=[Attribute("note", "VARCHAR"), Attribute("level", "INT", nullable=False, default=5, has_default=True)])
+    table.insert(orders.where("o_orderkey % 7 = 0").select("o_orderkey", "o_totalprice", "o_orderstatus", c("o_orderpriority").alias("note"), F.lit(9).alias("level")), timestamp=2)
+    return table.df()
+
+
+@_register("alter_drop_col", "SELECT o_orderkey, o_totalprice, CAST(NULL AS VARCHAR) AS o_orderstatus FROM orders")
+def _drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, _ = _evolving(spark, sf_dir)
+    table.alter(drop=["o_orderstatus"])
+    table.alter(add=[Attribute("o_orderstatus", "VARCHAR")])  # a new column: what was dropped does not come back
+    return table.df()
+
+
+@_register("subset_recast", "SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS o_totalprice FROM orders WHERE o_orderkey < 4000")
+def _subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, _ = _evolving(spark, sf_dir)
+    cells = table.slice({"o_orderkey": (None, 3999)}, ["o_orderkey", "o_totalprice"])
+    return cells.select(c("o_orderkey").cast("double").alias("o_orderkey"), F.round("o_totalprice").cast("bigint").alias("o_totalprice"))
+
+
+@_register("fill_default", "SELECT o_orderkey, 12345 AS attr0, 'abc' AS attr1, 12.345 :: DOUBLE AS attr2 FROM orders")
+def _fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = ArrayCatalog(spark, new_folder(spark, "arrays"))
+    table = catalog.create_sql("CREATE TABLE fills (o_orderkey bigint dimension=1 lower_bound='0' upper_bound='1000000000' tile_extent='1000', attr0 int NOT NULL DEFAULT 12345, attr1 varchar(255) DEFAULT 'abc', attr2 double NOT NULL DEFAULT 12.345, PRIMARY KEY(o_orderkey))")
+    table.insert(_read(spark, sf_dir, "orders").select("o_orderkey"))
+    return table.df()
+
+
+@_register("metadata_kv", "SELECT * FROM (VALUES ('key1', '25'), ('key2', '25,26,27,28'), ('key3', '25.1'), ('key4', '25.1,26.2,27.3'), ('key5', 'some text')) t(key, value)")
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = ArrayCatalog(spark, new_folder(spark, "arrays"))
+    catalog.create("m", _ORDER_ARRAY).put_metadata({"key1": 25, "key2": [25, 26, 27, 28], "key3": 25.1, "key4": [25.1, 26.2, 27.3], "key5": "some text"})
+    return catalog.read("m@metadata")
+
+
+@_register("insert_select", "SELECT n_nationkey, n_name FROM nation")
+def _insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = ArrayCatalog(spark, new_folder(spark, "arrays"))
+    schema = ArraySchema((Dimension("n_nationkey", "BIGINT", 0, 1000, 10),), (Attribute("n_name", "VARCHAR", filters="ZSTD=7"),))
+    first, second = catalog.create("a", schema), catalog.create("b", schema)
+    first.insert(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    second.insert(first.df())
+    second.insert(first.df())
+    return second.df()
+
+
+@_register("csv_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "arrays")
+    _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).option("sep", ";").csv(f"{folder}/csv")
+    schema = ArraySchema((Dimension("n_nationkey", "BIGINT", 0, 1000, 10),), (Attribute("n_name", "VARCHAR"), Attribute("n_regionkey", "BIGINT")), allows_dups=True)
+    table = ArrayCatalog(spark, folder).create("loaded", schema)
+    table.load_csv(f"{folder}/csv", delimiter=";")
+    return table.df()
+
+
+@_register("encrypted_array", "SELECT n_nationkey, n_name FROM nation")
+def _encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = ArraySchema((Dimension("n_nationkey", "BIGINT", 0, 1000, 10),), (Attribute("n_name", "VARCHAR"),), encrypted=True)
+    table = ArrayCatalog(spark, new_folder(spark, "arrays")).create("secret", schema, encryption_key="0123456789abcdeF0123456789abcdeF")
+    table.insert(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    return table.df()
+
+
+# -- values
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_LABELS = ", ".join(f"'{p}'" for p in _PRIORITIES)
+
+
+@_register("enum_decode", f"SELECT o_orderkey, CAST(list_position([{_LABELS}], o_orderpriority) - 1 AS BIGINT) AS code, CASE WHEN list_contains([{_LABELS}], o_orderpriority) THEN o_orderpriority END AS label FROM orders")
+def _enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = _read(spark, sf_dir, "orders").select("o_orderkey", values.enum_code(c("o_orderpriority"), _PRIORITIES).alias("code"))
+    return coded.withColumn("label", values.enum_label(c("code"), _PRIORITIES))
+
+
+@_register("enum_filter", "SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH'")
+def _enum_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = _read(spark, sf_dir, "orders").select("o_orderkey", values.enum_code(c("o_orderpriority"), _PRIORITIES).alias("code"))
+    return coded.where(values.enum_equals(c("code"), "2-HIGH", _PRIORITIES)).select("o_orderkey")
+
+
+@_register("multi_value_elem", "SELECT vec_id, embedding[1] AS e0, embedding[64] AS e63, CAST(len(embedding) AS INTEGER) AS n FROM embeddings")
+def _elem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select("vec_id", c("embedding")[0].alias("e0"), c("embedding")[63].alias("e63"), F.size("embedding").alias("n"))
+
+
+@_register("multi_value_bytes", "SELECT l_orderkey, l_linenumber, CAST(l_suppkey & 255 AS INTEGER) AS b1, CAST((l_suppkey >> 8) & 255 AS INTEGER) AS b2 FROM lineitem")
+def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = values.int_bytes(F.array(c("l_suppkey").cast("int"), c("l_linenumber").cast("int")))
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", values.byte_at(raw, 1).alias("b1"), values.byte_at(raw, 2).alias("b2"))
+
+
+_EPOCH = "TIMESTAMP '1970-01-01'"
+for _unit, _sql in {
+    "YEAR": "CAST(year(ts) - 1970 AS BIGINT)",
+    "MONTH": "CAST((year(ts) - 1970) * 12 + month(ts) - 1 AS BIGINT)",
+    "WEEK": "epoch_us(ts) // 604800000000",
+    "DAY": "epoch_us(ts) // 86400000000",
+    "HR": "epoch_us(ts) // 3600000000",
+    "MIN": "epoch_us(ts) // 60000000",
+    "SEC": "epoch_us(ts) // 1000000",
+    "MS": "epoch_us(ts) // 1000",
+    "US": "epoch_us(ts)",
+    "NS": "epoch_us(ts) * 1000",
+}.items():
+    _QUERIES[f"unit_to_{_unit.lower()}"] = lambda spark, sf_dir, u=_unit: _read(spark, sf_dir, "events").select("event_id", units.to_unit(c("ts"), u).alias("v"))
+    _SQL[f"unit_to_{_unit.lower()}"] = f"SELECT event_id, {_sql} AS v FROM events"
+for _unit, _sql in {
+    "YEAR": "CAST(event_id % 200 + 1870 AS INTEGER)",
+    "MONTH": "CAST(DATE '1970-01-01' + to_months(CAST(event_id % 200 - 100 AS INTEGER)) AS DATE)",
+    "WEEK": "DATE '1970-01-01' + CAST((event_id % 200 - 100) * 7 AS INTEGER)",
+    "DAY": "DATE '1970-01-01' + CAST(event_id % 200 - 100 AS INTEGER)",
+    "HR": f"{_EPOCH} + to_hours(CAST(event_id % 200 - 100 AS INTEGER))",
+    "MIN": f"{_EPOCH} + to_minutes(CAST(event_id % 200 - 100 AS INTEGER))",
+    "SEC": f"{_EPOCH} + to_seconds(event_id % 200 - 100)",
+    "MS": f"{_EPOCH} + to_milliseconds(event_id % 200 - 100)",
+    "NS": f"{_EPOCH} + to_microseconds(CAST(trunc((event_id % 200 - 100) / 1000) AS BIGINT))",
+}.items():
+    _QUERIES[f"unit_from_{_unit.lower()}"] = lambda spark, sf_dir, u=_unit: _read(spark, sf_dir, "events").select("event_id", units.from_unit(c("event_id") % 200 - 100, u).alias("v"))
+    _SQL[f"unit_from_{_unit.lower()}"] = f"SELECT event_id, {_sql} AS v FROM events"
+_QUERIES["unit_month_compatible"] = lambda spark, sf_dir: _read(spark, sf_dir, "events").select("event_id", units.from_unit(c("event_id") % 200, "MONTH", True).alias("v"))
+_SQL["unit_month_compatible"] = f"SELECT event_id, {_EPOCH} + to_seconds((event_id % 200) * 2628000) AS v FROM events"
+
+
+@_register("time_parts", "SELECT event_id, CASE WHEN m < 0 THEN -1 ELSE 1 END AS sign, abs(m) // 3600000000 AS hour, abs(m) // 60000000 % 60 AS minute, abs(m) // 1000000 % 60 AS second, abs(m) % 1000000 AS micro FROM (SELECT event_id, (event_id - 5000) * 7654321 AS m FROM events)")
+def _time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = units.time_parts((c("event_id") - 5000) * 7654321)
+    return _read(spark, sf_dir, "events").select("event_id", *[v.alias(k) for k, v in parts.items()])
+
+
+# -- spatial
+_AREA = geometry.to_wkb([(2, [geometry.np.array([(0.0, 5.0), (2000.0, 5.0), (2000.0, 12.0), (0.0, 12.0), (0.0, 5.0)])])])
+
+
+def _buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as 10 x 2 boxes around (account balance, nation), in WKB made by column expressions."""
+
+    def le(x: Column) -> Column:
+        return F.reverse(F.unhex(F.lpad(F.hex(x), 16, "0")))
+
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", c("c_acctbal").alias("_X"), c("c_nationkey").cast("double").alias("_Y"))
+    return rows.mapInPandas(_box_wkb, T.StructType([*rows.schema.fields, T.StructField("wkb_geometry", T.BinaryType())]))
+
+
+def _box_wkb(frames):
+    head = struct.pack("<BIII", 1, 3, 1, 5)
+    for pdf in frames:
+        boxes = [head + struct.pack("<10d", x - 5, y - 1, x + 5, y - 1, x + 5, y + 1, x - 5, y + 1, x - 5, y - 1) for x, y in zip(pdf["_X"], pdf["_Y"], strict=True)]
+        yield pdf.assign(wkb_geometry=boxes)
+
+
+@_register("mbr_filter", "SELECT c_custkey FROM customer WHERE c_acctbal BETWEEN 0 - 2.5 AND 2000 + 2.5 AND c_nationkey BETWEEN 5 - 0.5 AND 12 + 0.5")
+def _mbr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", c("c_acctbal").alias("_X"), c("c_nationkey").cast("double").alias("_Y"))
+    return spatial.mbr_filter(rows, spatial.mbr(_AREA), 5.0, 1.0).select("c_custkey")
+
+
+@_register("spatial_intersects", "SELECT c_custkey FROM customer WHERE c_acctbal + 5 >= 0 AND c_acctbal - 5 <= 2000 AND c_nationkey + 1 >= 5 AND c_nationkey - 1 <= 12")
+def _intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.spatial_filter(_buildings(spark, sf_dir), _AREA, "intersects", 10.0, 2.0).select("c_custkey")
+
+
+@_register("spatial_overlaps", "SELECT c_custkey FROM customer WHERE c_acctbal + 5 > 0 AND c_acctbal - 5 < 2000 AND c_nationkey + 1 > 5 AND c_nationkey - 1 < 12 AND NOT (c_acctbal - 5 >= 0 AND c_acctbal + 5 <= 2000 AND c_nationkey - 1 >= 5 AND c_nationkey + 1 <= 12)")
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.spatial_filter(_buildings(spark, sf_dir), _AREA, "overlaps", 10.0, 2.0).select("c_custkey")
+
+
+@_register("spatial_measures", "SELECT c_custkey, 20.0 :: DOUBLE AS area, round(c_acctbal, 3) AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer")
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _buildings(spark, sf_dir).withColumn("m", geometry.st_centroid(c("wkb_geometry")))
+    return rows.select("c_custkey", F.round(geometry.st_area(c("wkb_geometry")), 6).alias("area"), F.round("m.x", 3).alias("x"), F.round("m.y", 6).alias("y"))
+
+
+# -- the flagship
+_FLAG = "round(sum(o_totalprice), 2) AS s, round(avg(o_totalprice), 4) AS a, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(o_totalprice) AS n"
+
+
+@_register("flagship", f"SELECT o_orderstatus, {_FLAG} FROM orders WHERE o_orderkey BETWEEN 100 AND 900 AND o_totalprice > 1000 GROUP BY o_orderstatus")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.where(F.col("o_orderkey").between(100, 900) & (F.col("o_totalprice") > 1000)).agg(F.count("*").alias("n"))
+    """Orders as an array keyed on ``o_orderkey``: slice a range, filter an attribute, aggregate."""
+    cells = _read(spark, sf_dir, "orders").where(slicing.subarray({"o_orderkey": (100, 900)}) & (c("o_totalprice") > 1000))
+    return cells.groupBy("o_orderstatus").agg(_sum("o_totalprice", "s"), F.round(F.avg("o_totalprice"), 4).alias("a"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.count("o_totalprice").alias("n"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
