@@ -6,9 +6,11 @@ over (weight, rank) that depends on the shingle alone, so equal regions of two d
 dart belongs to one coordinate; a coordinate keeps its earliest dart, and two documents agree in a coordinate with
 probability equal to their similarity.
 
-No pairs are emitted within a bucket but (member, representative); only where the verified links leave a bucket in
-several components are the members outside its largest component compared with the rest, behind an estimate of the
-similarity that passes true pairs with probability above 1 - 1e-6.
+No pairs are emitted within a bucket but (member, representative), the representative being the member with most
+bucket mates over all bands.  Only where the verified links leave a bucket in several components are the members
+outside its largest component compared with the rest, inside the join and behind two filters: differing bits of the
+signatures (passes true pairs with probability above 1 - 1e-6) and odd sketches, whose differing bits never exceed the
+symmetric difference (passes every true pair).
 """
 
 from __future__ import annotations
@@ -163,7 +165,16 @@ def sketch_bits(signature: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(">i8").astype(np.int64)
 
 
-_SKETCH = "doc_id long, text_hash long, node long, first boolean, n int, s0 long, s1 long, s2 long, bands array<long>, units array<int>"
+def odd_sketch(units: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of units falls on, at least 1024 and about as many as units; as 64-bit numbers."""
+    size = 1024
+    while size < len(units):
+        size *= 2
+    odd = np.bincount(units & np.uint32(size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_SKETCH = "doc_id long, text_hash long, node long, first boolean, n int, s0 long, s1 long, s2 long, odd array<long>, bands array<long>, units array<int>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -174,19 +185,19 @@ def sketches(docs: DataFrame) -> DataFrame:
         shingler, dart, seen = Shingler(), darts(), set()
 
         def step(batch):
-            out = {k: [] for k in ("node", "first", "n", "s0", "s1", "s2", "bands", "units")}
+            out = {k: [] for k in ("node", "first", "n", "s0", "s1", "s2", "odd", "bands", "units")}
             for text in texts_of(batch):
                 h = shingler.hashes(text)
                 node = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) if len(h) else None
-                row = (node, False, None, None, None, None, None, None)
+                row = (node, False, None, None, None, None, None, None, None)
                 if node is not None and node not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(node)
                     u = shingler.units(h)
                     signature = dart(u)
-                    small = np.unique((u >> _U(32)).astype(np.uint32)).view(np.int32)
-                    row = (node, True, len(small), *sketch_bits(signature).tolist(), bands_of(signature), small)
+                    small = np.unique((u >> _U(32)).astype(np.uint32))
+                    row = (node, True, len(small), *sketch_bits(signature).tolist(), odd_sketch(small), bands_of(signature), small.view(np.int32))
                 for name, value in zip(out, row, strict=True):
                     out[name].append(value)
             return {"doc_id": batch.column(0), "text_hash": batch.column(2)} | out
@@ -198,10 +209,15 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _near(a: str, b: str):
-    """The cheap conditions that every pair at the threshold meets: sizes, and the sketches' differing bits."""
+    """The cheap conditions that every pair at the threshold meets: sizes, and the differing bits of both sketches.
+
+    At similarity t or more the symmetric difference is at most (1 - t) / (1 + t) of the sizes' sum; odd sketches of
+    different lengths (sizes on two sides of a power of two) are not compared."""
     sizes = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= THRESHOLD * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n")) - 2
     bits = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(3)), F.lit(0))
-    return sizes & (bits <= HAMMING)
+    odd = F.aggregate(F.zip_with(f"{a}.odd", f"{b}.odd", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+    most = (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col(f"{a}.n") + F.col(f"{b}.n")) + 1e-6
+    return sizes & (bits <= HAMMING) & ((F.size(f"{a}.odd") != F.size(f"{b}.odd")) | (odd <= most))
 
 
 def verify(pairs: DataFrame, units: DataFrame) -> DataFrame:
@@ -239,10 +255,13 @@ def components(edges: DataFrame) -> DataFrame:
 def links(sketched: DataFrame) -> DataFrame:
     """``a, b``: verified links whose components are those of all candidate pairs at the threshold."""
     firsts = sketched.where("first")
-    facts = firsts.select("node", "n", "s0", "s1", "s2").distinct()
+    facts = firsts.select("node", "n", "s0", "s1", "s2", "odd").dropDuplicates(["node"])
     placed = firsts.select("node", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep <> top").select("band", "rep")
+    shared = placed.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("top"), F.count("*").alias("mates")).where("least <> top").select("band", "mates")
     members = cut(placed.join(shared, "band").distinct(), "members")
+    central = members.groupBy("node").agg(F.sum("mates").alias("centre"))
+    reps = members.join(central, "node").groupBy("band").agg(F.max_by("node", F.struct("centre", "node")).alias("rep"))
+    members = cut(members.select("band", "node").join(reps, "band"), "members")
     tried = members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
     tried = cut(tried, "tried")
     involved = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
