@@ -87,8 +87,8 @@ class ZipReader:
         tail_at = max(0, size - 65_557)
         tail = read_at(tail_at, size - tail_at)
         end = tail.rfind(b"PK\x05\x06")
-        while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
-            end = tail.rfind(b"PK\x05\x06", 0, end)
+        while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
+            end = tail.rfind(b"PK\x05\x06", 0, end)  # the signature also occurs in comments
         if end < 0:
             raise ValueError("no end of central directory")
         count, length, start = struct.unpack_from("<HII", tail, end + 10)
