@@ -44,22 +44,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept as they are met."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
 class Shingler:
     """Texts to word hashes, and those to the hashed units (shingle, occurrence) of the shingle multiset."""
 
     def __init__(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = WordHashes()
 
     def hashes(self, text: str) -> np.ndarray:
-        known, out = self.words, []
-        if len(known) > 200_000:
-            known.clear()
-        for w in _WORD.findall(text.lower()):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out.append(h)
-        return np.array(out, np.uint64)
+        if len(self.words) > 200_000:
+            self.words.clear()
+        found = _WORD.findall(text.lower())
+        return np.fromiter(map(self.words.__getitem__, found), np.uint64, len(found))
 
     @staticmethod
     def units(h: np.ndarray) -> np.ndarray:
@@ -81,67 +84,65 @@ class Shingler:
 
 
 class DartMinHash:
-    """Signatures of ``k`` coordinates from darts in (weight, rank) cells; rank cells double from level to level."""
+    """Signatures of ``k`` coordinates from darts in (weight, rank) cells; rank cells double from level to level.
+
+    The number of darts in a cell is Poisson.  All levels that a weight is expected to need are thrown in one pass:
+    the levels' distribution functions stand one behind the other, level ``i`` between ``i`` and ``i + 1``.
+    """
 
-    FIRST = 2.0**-6
+    FIRST, LEVELS = 2.0**-6, 26
 
     def __init__(self, k: int = COORDINATES):
         self.k = k
         self.aim = k * (np.log(k) + 2)
-        self.levels: list[tuple[float, float, np.ndarray, np.uint64]] = []
-
-    def level(self, at: int) -> tuple[float, float, np.ndarray, np.uint64]:
-        while len(self.levels) <= at:
-            n = len(self.levels)
-            low, high = (0.0, self.FIRST) if n == 0 else (self.FIRST * 2 ** (n - 1), self.FIRST * 2**n)
-            mean, terms, cdf, k = high - low, np.exp(low - high), [], 0
-            total = terms
-            while total < 1 - 1e-13 and k < 4 * mean + 60 or k < mean:
-                cdf.append(total)
-                k += 1
-                terms *= mean / k
-                total += terms
-            self.levels.append((low, high, np.array([*cdf, 1.0]), mix(np.array([n + 1], np.uint64) * _C3)[0]))
-        return self.levels[at]
+        self.high = self.FIRST * 2.0 ** np.arange(self.LEVELS)
+        self.low = np.concatenate([[0.0], self.high[:-1]])
+        self.seeds = mix(np.arange(1, self.LEVELS + 1, dtype=np.uint64) * _C3)
+        self.cdf, self.first = np.empty(0), np.empty(0, np.int64)
+
+    def tables(self, levels: int) -> None:
+        """Distribution functions up to so many levels."""
+        while len(self.first) < levels:
+            at = len(self.first)
+            mean = float(self.high[at] - self.low[at])
+            log_terms = np.arange(1, int(mean + 12 * np.sqrt(mean) + 40))
+            log_terms = np.concatenate([[0.0], np.cumsum(np.log(mean / log_terms))]) - mean
+            cdf = np.minimum(np.cumsum(np.exp(log_terms)), 1.0)
+            self.first = np.append(self.first, len(self.cdf))
+            self.cdf = np.concatenate([self.cdf, at + cdf[cdf < 1 - 1e-13], [at + 1.0]])
+
+    def throw(self, units: np.ndarray, weights: np.ndarray | None, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranks, hashes and coordinates of the darts of levels ``start`` to ``stop``."""
+        self.tables(stop)
+        h = mix(units[None, :] ^ self.seeds[start:stop, None])
+        place = (h >> _U(11)) * 2.0**-53 + np.arange(start, stop)[:, None]
+        count = np.searchsorted(self.cdf, place, side="right") - self.first[start:stop, None]
+        level, unit = np.nonzero(count)
+        c = count[level, unit]
+        number = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        dart = mix(np.repeat(h[level, unit], c) + (number.astype(np.uint64) + _U(1)) * _C3)
+        level, unit = np.repeat(level + start, c), np.repeat(unit, c)
+        if weights is not None:
+            inside = (mix(dart ^ _C2) >> _U(11)) * 2.0**-53 < weights[unit]
+            dart, level = dart[inside], level[inside]
+        rank = self.low[level] + (self.high[level] - self.low[level]) * ((mix(dart ^ _C1) >> _U(11)) * 2.0**-53)
+        return rank, dart, ((dart >> _U(33)) % _U(self.k)).astype(np.int64)
 
     def __call__(self, units: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         """Earliest dart's hash for each coordinate.  ``weights`` (at most 1 each; None: 1) cut a unit's region."""
         mass = float(len(units) if weights is None else weights.sum())
-        best_rank = np.full(self.k, np.inf)
-        best = np.zeros(self.k, np.uint64)
-        need, at = self.aim / mass, 0
+        best_rank, best = np.full(self.k, np.inf), np.zeros(self.k, np.uint64)
+        start, stop = 0, min(self.LEVELS - 1, int(np.searchsorted(self.high, self.aim / mass))) + 1
         while True:
-            ranks, ids, coordinates = [], [], []
-            while True:  # levels up to the expected need, then one at a time
-                low, high, cdf, seed = self.level(at)
-                h = mix(units ^ seed)
-                count = np.searchsorted(cdf, (h >> _U(11)) * 2.0**-53, side="right")
-                hit = np.flatnonzero(count)
-                at += 1
-                if len(hit):
-                    c = count[hit]
-                    own = np.repeat(h[hit], c)
-                    number = np.arange(len(own)) - np.repeat(np.cumsum(c) - c, c)
-                    dart = mix(own + (number.astype(np.uint64) + _U(1)) * _C3)
-                    if weights is not None:
-                        inside = (mix(dart ^ _C2) >> _U(11)) * 2.0**-53 < np.repeat(weights[hit], c)
-                        dart = dart[inside]
-                    ranks.append(low + (high - low) * ((mix(dart ^ _C1) >> _U(11)) * 2.0**-53))
-                    ids.append(dart)
-                    coordinates.append((dart >> _U(33)) % _U(self.k))
-                if high >= need:
-                    break
-            if ids:
-                rank, dart, where = np.concatenate(ranks), np.concatenate(ids), np.concatenate(coordinates).astype(np.int64)
-                order = np.argsort(rank, kind="stable")
-                spot, first = np.unique(where[order], return_index=True)
-                chosen = order[first]
-                better = rank[chosen] < best_rank[spot]
-                best_rank[spot[better]] = rank[chosen[better]]
-                best[spot[better]] = dart[chosen[better]]
+            rank, dart, where = self.throw(units, weights, start, stop)
+            np.minimum.at(best_rank, where, rank)
+            won = rank == best_rank[where]
+            best[where[won]] = dart[won]
             if np.isfinite(best_rank).all():
                 return best
-            need = 0.0
+            if stop == self.LEVELS:  # weights too small for the levels there are
+                raise ValueError("the weights are too small")
+            start, stop = stop, stop + 1
 
 
 @lru_cache(maxsize=1)
