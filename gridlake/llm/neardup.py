@@ -254,9 +254,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def links(sketched: DataFrame) -> DataFrame:
-    """``a, b``: verified links whose components are those of all candidate pairs at the threshold."""
+    """``a, b``: verified links whose components are those of all candidate pairs at the threshold.
+
+    Units are shuffled once, to keep those of documents that share a band; what follows reads only these.
+    """
     firsts = sketched.where("first")
-    facts = firsts.select("node", "n", "s0", "s1", "s2", "odd").dropDuplicates(["node"])
     placed = firsts.select("node", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("top"), F.count("*").alias("mates")).where("least <> top").select("band", "mates")
     members = cut(placed.join(shared, "band").distinct(), "members")
@@ -265,11 +267,13 @@ def links(sketched: DataFrame) -> DataFrame:
     members = cut(members.select("band", "node").join(reps, "band"), "members")
     tried = members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
     tried = cut(tried, "tried")
-    involved = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
-    facts = cut(facts.join(involved, "node", "left_semi"), "facts")
+    involved = members.select("node").distinct()
+    # merged at every size: whether a side happens to fit a broadcast must not change what is shuffled
+    kept = firsts.select("node", "n", "s0", "s1", "s2", "odd", "units").join(involved.hint("merge"), "node", "left_semi")
+    kept = cut(kept.dropDuplicates(["node"]), "facts")
+    facts, units = kept.drop("units"), kept.select("node", "units")
     fa, fb = facts.alias("x"), facts.alias("y")
     likely = tried.join(fa, tried["a"] == F.col("x.node")).join(fb, tried["b"] == F.col("y.node")).where(_near("x", "y")).select("a", "b")
-    units = firsts.select("node", "units").join(involved, "node", "left_semi").dropDuplicates(["node"])
     found = cut(verify(likely, units), "links")
     if found.isEmpty() and tried.isEmpty():
         return found
