@@ -145,8 +145,8 @@ def words_of(text: Column) -> Column:
 def disclosures(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, partial: float = PARTIAL) -> DataFrame:
     """``entity, term, disclosure`` of the pairs at or above ``partial``.
 
-    Pairs and entities are counted over distinct contexts; terms over all documents, with partial sums before the
-    shuffle.  A pair below ``support`` distinct contexts shows nothing.
+    Pairs and entities are counted over distinct contexts; terms over all documents, summed before the shuffle and
+    before they meet the pairs, so the join's rows are bounded by the pairs.  A pair below ``support`` distinct contexts shows nothing.
     """
     near = scanned.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.mark").distinct()
     near = cut(near, "near")
@@ -155,10 +155,7 @@ def disclosures(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, par
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     entities = near.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    wanted = cut(pairs.select("term").distinct(), "terms")
-    found = docs.select(F.explode(words_of(plain("text"))).alias("term"))
-    found = found.join(F.broadcast(wanted), "term") if within(wanted) else found
-    terms = found.groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = docs.select(F.explode(words_of(plain("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.count()
     both = pairs.join(entities, "entity").join(terms, "term")
     all_contexts = F.lit(float(max(total, 2)))
