@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from gridlake.llm.shared import cut, plain, within
+from gridlake.llm.shared import cut, give_back, plain, within
 
 #: Bytes of text that one trie holds.
 BUDGET = 64 << 20
@@ -131,6 +131,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                 while trie.bytes > budget:
                     yield from _batches(shaped(trie.spill()), partial_arrow)
         yield from _batches(shaped(trie.drain()), partial_arrow)
+        give_back()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, at = RadixTrie(), (None, None)
@@ -146,6 +147,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                 at = (n, h)
                 trie.insert(body, tuple(owner))
         yield from _batches(shaped(trie.drain()), final_arrow)
+        give_back()
 
     first = docs.select(plain(id_col).cast("long"), plain(text_col).cast("binary")).mapInArrow(read, partial)
     return first.repartition("n_bytes", "h").sortWithinPartitions("n_bytes", "h").mapInArrow(settle, final)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -76,7 +76,6 @@ class Ids:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -86,10 +85,17 @@ class Ids:
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(of[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in added}
         self.fast = tiktoken.Encoding(base64.b32encode(path.encode()).decode(), pat_str=BytePairCodec.BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=added)
-        self.slow = Tokenizer.from_file(path)
-        self.added = frozenset(added)
-        self.slow.no_padding()
-        self.slow.no_truncation()
+        self.added, self.path = frozenset(added), path
+
+    @cached_property
+    def slow(self):
+        """The library's own tokenizer, loaded only for a text that needs it."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        own.no_padding()
+        own.no_truncation()
+        return own
 
     def __call__(self, text: str) -> np.ndarray:
         try:

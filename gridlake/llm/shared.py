@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Rows, and bytes but for a longer row, that a Python worker takes of an Arrow batch at once.
+SLICE_ROWS, SLICE_BYTES = 1_000, 4 << 20
 #: Rows up to which a side may be broadcast.  The callers' rows have fixed width, so this bounds the bytes too.
 BROADCAST_ROWS = 200_000
 
@@ -61,6 +65,23 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if within(df, rows) else df
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, so that what a step makes of it stays small."""
+    if batch.num_rows:
+        rows = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task and serves other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, columns: Iterable[str | Column], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
     """``mapInArrow`` over the given columns only.
 
@@ -73,8 +94,10 @@ def map_batches(df: DataFrame, columns: Iterable[str | Column], schema: str, mak
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows and (got := step(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in target], schema=target)
+            for part in slices(batch):
+                if (got := step(part)) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in target], schema=target)
+        give_back()
 
     return df.select(*columns).mapInArrow(run, kind)
 
