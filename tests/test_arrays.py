@@ -2,6 +2,7 @@
 
 import math
 from dataclasses import replace
+from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -137,7 +138,7 @@ def test_coordinates_are_checked(catalog, spark, bad):
 
 def test_unsigned_and_not_null(catalog, spark):
     table = catalog.create("u", ArraySchema((Dimension("d", "INT", 0, 9, 1),), (Attribute("v", "BIGINT UNSIGNED", nullable=False),)))
-    table.insert(spark.createDataFrame([(1, 2**64 - 1)], "d int, v decimal(20,0)"))
+    table.insert(spark.createDataFrame([(1, Decimal(2**64 - 1))], "d int, v decimal(20,0)"))
     assert int(table.df().first()["v"]) == 2**64 - 1
     with pytest.raises(Exception, match="out of range"):
         table.insert(spark.createDataFrame([(1, -1)], "d int, v int"))
