@@ -272,7 +272,7 @@ def parse_ddl(text: str) -> tuple[str, ArraySchema, dict[str, str]]:
             number = lambda k, spark=spark, own=own: _value(own[k], spark) if k in own else None
             dims.append(Dimension(name, kind, number("lower_bound"), number("upper_bound"), number("tile_extent"), own.get("filters")))
         else:
-            default = re.search(r"DEFAULT\s+('(?:[^'])*'|\S+)", rest, re.I)
+            default = re.search(r"DEFAULT\s+('(?:[^']|'')*'|\S+)", rest, re.I)
             enum = tuple(_value(x, "string") for x in _split(labels)) if labels is not None else None
             spark = "string" if enum else K.parse_sql_type(kind)[1]
             attrs.append(Attribute(name, "ENUM" if enum else kind, not re.search(r"NOT\s+NULL", rest, re.I), _value(default[1], spark) if default else None, bool(default), own.get("filters"), enum, int(own.get("cell_val_num", 1))))

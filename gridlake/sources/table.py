@@ -223,12 +223,12 @@ class ArrayTable:
         own = f"{stamp:020d}_{len(known):08d}{uuid.uuid4().hex[:12]}"
         watch = Observation(own)
         measured = [F.count(F.lit(1)).alias("rows"), *[f(F.col(d)).cast("string").alias(f"{n}{i}") for i, d in enumerate(schema.dims) for n, f in (("lo", F.min), ("hi", F.max))]]
-        rows = rows.observe(watch, *measured)
         tiled = self._tiled(schema)
         if tiled is not None:
             rows = rows.withColumn(f"__t_{tiled[0]}", F.floor((F.col(tiled[0]) - F.lit(tiled[1])) / F.lit(tiled[2])).cast("bigint"))
         keys = self._order(schema, tiled)
         rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if not schema.encrypted else rows
+        rows = rows.observe(watch, *measured)  # above the range partitioning, whose sampling reads the rows once more
         if schema.encrypted:
             inner = F.to_json(F.struct(*schema.dims, *[a.stored for a in schema.attributes]))
             rows = rows.select(F.aes_encrypt(inner.cast("binary"), F.lit(self.key.encode()), F.lit("GCM")).alias("__cipher"), SEQUENCE)
