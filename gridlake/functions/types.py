@@ -123,5 +123,5 @@ def clamp_unsigned(value: Column, base: str, strict: bool = True) -> Column:
     wide = value.cast("decimal(38,0)")
     if strict:
         message = F.concat(F.lit(f"out of range for {base} UNSIGNED: "), value.cast("string"))
-        return F.when((wide < 0) | (wide > F.lit(top).cast("decimal(38,0)")), F.raise_error(message)).otherwise(value)
-    return F.greatest(F.least(wide, F.lit(top).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+        return F.when((wide < 0) | (wide > F.lit(str(top)).cast("decimal(38,0)")), F.raise_error(message)).otherwise(value)
+    return F.greatest(F.least(wide, F.lit(str(top)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
