@@ -2,9 +2,11 @@
 
 A term t near an entity e discloses it by the share of e's information that t gives:
 
-    disclosure(e; t) = PMI(e; t) / IC(e) = log(N n(e,t) / (n(e) n(t))) / log(N / n(e))
+    disclosure(e; t) = PMI(e; t) / IC(e) = log(p(e|t) N / n(e)) / log(N / n(e))
+    p(e|t) = (n(e,t) + a n(e) / N) / (n(t) + a)
 
 with counts of distinct contexts (n(e,t), n(e)) and of documents that hold the term (n(t)) over the whole corpus.
+Every pair is estimated: the ``SMOOTH`` (a) draws the few sightings of a rare term to the entity's base rate.
 Terms at or above ``FULL`` are removed, those at or above ``PARTIAL`` are generalised.  Contexts are counted
 once however often a passage is copied.
 """
@@ -31,8 +33,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 #: Words on each side of an entity that count as its context.
 WINDOW = 6
-#: Distinct contexts in which entity and term must meet, and the disclosure from which a term is generalised or removed.
-SUPPORT, PARTIAL, FULL = 3, 0.6, 0.9
+#: The disclosure from which a term is generalised or removed, and the sightings that the base rate counts for.
+PARTIAL, FULL, SMOOTH = 0.6, 0.9, 1.0
 
 
 def luhn(digits: str) -> bool:
@@ -142,15 +144,15 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 1))
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, partial: float = PARTIAL) -> DataFrame:
+def disclosures(docs: DataFrame, scanned: DataFrame, partial: float = PARTIAL) -> DataFrame:
     """``entity, term, disclosure`` of the pairs at or above ``partial``.
 
     Pairs and entities are counted over distinct contexts; terms over all documents, summed before the shuffle and
-    before they meet the pairs, so the join's rows are bounded by the pairs.  A pair below ``support`` distinct contexts shows nothing.
+    before they meet the pairs, so the join's rows are bounded by the pairs.
     """
     near = scanned.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.mark").distinct()
     near = cut(near, "near")
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     pairs = cut(pairs, "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
@@ -161,13 +163,14 @@ def disclosures(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, par
     all_contexts = F.lit(float(max(total, 2)))
     n_t = F.greatest(F.col("n_t"), F.col("n_et"))
     n = F.greatest(all_contexts, n_t, F.col("n_e")) + 1.0
-    share = F.log(n * F.col("n_et") / (F.col("n_e") * n_t)) / F.log(n / F.col("n_e"))
+    given = (F.col("n_et") + F.lit(SMOOTH) * F.col("n_e") / n) / (n_t + F.lit(SMOOTH))
+    share = F.log(given * n / F.col("n_e")) / F.log(n / F.col("n_e"))
     return both.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= partial)
 
 
-def term_spans(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, partial: float = PARTIAL, full: float = FULL) -> DataFrame:
+def term_spans(docs: DataFrame, scanned: DataFrame, partial: float = PARTIAL, full: float = FULL) -> DataFrame:
     """``doc_id, text_hash, added array<struct<kind,start,stop>>`` for the documents in which a term discloses an entity."""
-    found = cut(disclosures(docs, scanned, support, partial), "disclosures")
+    found = cut(disclosures(docs, scanned, partial), "disclosures")
     rows = scanned.where(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.entity", "x.term", "x.start", "x.stop").distinct()
     hit = rows.join(F.broadcast(found) if within(found) else found, ["entity", "term"])
     top = hit.groupBy("doc_id", "text_hash", "start", "stop").agg(F.max("disclosure").alias("d"))
@@ -175,14 +178,14 @@ def term_spans(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, part
     return top.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct(kind.alias("kind"), "start", "stop"))).alias("added"))
 
 
-def find_pii(docs: DataFrame, support: int = SUPPORT, partial: float = PARTIAL, full: float = FULL) -> DataFrame:
+def find_pii(docs: DataFrame, partial: float = PARTIAL, full: float = FULL) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
 
     Null and empty texts have no spans.  Rows that repeat id and text get the same spans.  No text is shuffled:
     each is read once for its spans and once for the corpus counts of terms.
     """
     scanned = cut(scan(docs), "scan")
-    added = term_spans(docs, scanned, support, partial, full)
+    added = term_spans(docs, scanned, partial, full)
     right = added.withColumnRenamed("doc_id", "a_id").withColumnRenamed("text_hash", "a_hash")
     both = scanned.join(right, scanned["doc_id"].eqNullSafe(right["a_id"]) & (scanned["text_hash"] == right["a_hash"]), "left")
     more = F.transform("added", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string")))
@@ -202,14 +205,14 @@ def rewrite(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, partial: float = PARTIAL, full: float = FULL) -> DataFrame:
+def sanitise(docs: DataFrame, partial: float = PARTIAL, full: float = FULL) -> DataFrame:
     """The rows of documents with all spans rewritten; ``n_chars`` follows the text, other columns are unchanged.
 
     Null text stays null.  Only documents with disclosing terms meet a table of spans: it is broadcast if a count
     bounds it, else joined by id and text hash.
     """
     scanned = cut(scan(docs), "scan")
-    added = cut(term_spans(docs, scanned, support, partial, full), "added")
+    added = cut(term_spans(docs, scanned, partial, full), "added")
     keyed = docs.select(F.struct(*[plain(c) for c in docs.columns]).alias("__gl_row"), plain("doc_id").cast("long").alias("__gl_id"), text_key().alias("__gl_hash"))
     if added.isEmpty():
         rows = keyed.withColumn("added", F.lit(None).cast("array<struct<kind:string,start:int,stop:int>>"))

@@ -352,6 +352,20 @@ def test_copies_show_nothing(make_docs):
     assert not any("term" in r.spans for r in rows)
 
 
+def test_rare_terms_disclose_at_first_sight(make_docs):
+    rng = random.Random(11)
+    once, twice = "the vexillary writes to solo@corp.example.com and is by", "quillon answers for +1 (437) 555-0689"
+    texts = [once, f"{prose(rng, n=4)} {twice} {prose(rng, n=4)}", f"{prose(rng, n=4)} {twice} {prose(rng, n=4)}", *(prose(rng, n=40) for _ in range(200))]
+    docs = make_docs(texts)
+    spans = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    for i, term in ((0, "vexillary"), (1, "quillon"), (2, "quillon")):
+        added = {texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in spans[i].split(",") if s.startswith("term")}
+        assert term in added and not added & set(WORDS["en"])
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "vexillary" not in clean[0] and not any("quillon" in clean[i] for i in (1, 2))
+    assert all(clean[i] == texts[i] for i in range(3, len(texts)))
+
+
 def test_rewrite_keeps_the_rest():
     text = "x a@b.cc y 1.2.3.4 z"
     assert pii.rewrite(text, pii.base_spans(text)) == "x [EMAIL] y [IP] z"
