@@ -31,7 +31,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-#: Words on each side of an entity that count as its context.
+#: Words on each side of an entity that count as its context; what is found there holds for the whole document.
 WINDOW = 6
 #: The disclosure from which a term is generalised or removed, and the sightings that the base rate counts for.
 PARTIAL, FULL, SMOOTH = 0.6, 0.9, 1.0
@@ -85,34 +85,41 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join([f"{k}:{a}:{b}" for k, a, b in spans])
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, context hash) of each word within ``WINDOW`` words of an entity, outside all spans.
-
-    Words are found only around the entities, so a text without any costs nothing.
-    """
-    out = []
-    taken = sorted((a, b) for _, a, b in spans)
-    starts = [a for a, _ in taken]
+def gaps(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The parts of the text that no span covers."""
+    out, at = [], 0
+    for _, a, b in sorted(spans, key=lambda x: x[1]):
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return [*out, (at, len(text))]
 
-    def free(a: int, b: int) -> bool:
-        k = bisect_left(starts, b)
-        return not any(x < b and a < y for x, y in taken[max(0, k - 4) : k])
 
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[str, str, int]], dict[str, tuple[list[int], list[int]]]]:
+    """(entity, term, context hash) of each word within ``WINDOW`` words of an entity; and of every word of the text its
+    starts and stops.  Words stand outside all spans and are whole, however long.
+    """
+    words = [(m[0].lower(), *m.span()) for a, b in gaps(text, spans) for m in _WORD.finditer(text, a, b)]
+    starts = [a for _, a, _ in words]
+    near = []
     for kind, a, b in spans:
         entity = f"{kind}:{text[a:b].lower() if kind == 'email' else _NOT_DIGIT.sub('.' if kind == 'ip' else '', text[a:b])}"
-        before = [(m.start(), m.end()) for m in _WORD.finditer(text, max(0, a - 40 * WINDOW), a)][-WINDOW:]
-        after = []
-        for m in _WORD.finditer(text, b, min(len(text), b + 40 * WINDOW)):
-            after.append((m.start(), m.end()))
-            if len(after) == WINDOW:
-                break
-        words = [(text[x:y].lower(), x, y) for x, y in before + after if free(x, y)]
-        mark = xxhash.xxh3_64_intdigest(" ".join(w for w, _, _ in words)) - (1 << 63)
-        out += [(entity, w, x, y, mark) for w, x, y in words]
-    return out
+        left, right = bisect_left(starts, a), bisect_left(starts, b)
+        window = [w for w, _, _ in words[max(0, left - WINDOW) : left] + words[right : right + WINDOW]]
+        mark = xxhash.xxh3_64_intdigest(" ".join(window)) - (1 << 63)
+        near += [(entity, w, mark) for w in dict.fromkeys(window)]
+    places: dict[str, tuple[list[int], list[int]]] = {}
+    for w, a, b in words:
+        at = places.setdefault(w, ([], []))
+        at[0].append(a)
+        at[1].append(b)
+    return near, places
 
 
-_SCAN = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entity:string,term:string,start:int,stop:int,mark:long>>"
+_SCAN = (
+    "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
+    "near array<struct<entity:string,term:string,mark:long>>, words array<struct<term:string,starts:array<int>,stops:array<int>>>"
+)
 
 
 def text_key() -> Column:
@@ -120,16 +127,18 @@ def text_key() -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: counts and spans of the base kinds, and the terms around them with their places."""
+    """One row per document: counts and spans of the base kinds, the terms around them, and the places of all words if there are spans."""
 
     def make():
         def step(batch):
-            out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near")}
+            out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near", "words")}
             for text in texts_of(batch):
                 spans = base_spans(text)
                 kinds, base = [k for k, _, _ in spans], joined(spans)
-                near = [{"entity": e, "term": t, "start": a, "stop": b, "mark": m} for e, t, a, b, m in contexts(text, spans)] if spans else []
-                row = (*(kinds.count(k) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, near)
+                near, places = contexts(text, spans) if spans else ([], {})
+                near = [{"entity": e, "term": t, "mark": m} for e, t, m in near]
+                words = [{"term": t, "starts": a, "stops": b} for t, (a, b) in places.items()]
+                row = (*(kinds.count(k) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, near, words)
                 for name, value in zip(out, row, strict=True):
                     out[name].append(value)
             return {"doc_id": batch.column(0), "text_hash": batch.column(2)} | out
@@ -159,9 +168,9 @@ def disclosures(docs: DataFrame, scanned: DataFrame, partial: float = PARTIAL) -
     entities = near.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = docs.select(F.explode(words_of(plain("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.count()
-    both = pairs.join(entities, "entity").join(terms, "term")
+    both = pairs.join(entities, "entity").join(terms, "term", "left")
     all_contexts = F.lit(float(max(total, 2)))
-    n_t = F.greatest(F.col("n_t"), F.col("n_et"))
+    n_t = F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_et"))
     n = F.greatest(all_contexts, n_t, F.col("n_e")) + 1.0
     given = (F.col("n_et") + F.lit(SMOOTH) * F.col("n_e") / n) / (n_t + F.lit(SMOOTH))
     share = F.log(given * n / F.col("n_e")) / F.log(n / F.col("n_e"))
@@ -169,13 +178,21 @@ def disclosures(docs: DataFrame, scanned: DataFrame, partial: float = PARTIAL) -
 
 
 def term_spans(docs: DataFrame, scanned: DataFrame, partial: float = PARTIAL, full: float = FULL) -> DataFrame:
-    """``doc_id, text_hash, added array<struct<kind,start,stop>>`` for the documents in which a term discloses an entity."""
+    """``doc_id, text_hash, added array<struct<kind,start,stop>>`` for the documents that hold an entity and a term that
+    discloses it: every place of the term, near the entity or not.
+
+    A document's words meet the terms found, then its entities; no row holds both lists.
+    """
     found = cut(disclosures(docs, scanned, partial), "disclosures")
-    rows = scanned.where(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.entity", "x.term", "x.start", "x.stop").distinct()
-    hit = rows.join(F.broadcast(found) if within(found) else found, ["entity", "term"])
-    top = hit.groupBy("doc_id", "text_hash", "start", "stop").agg(F.max("disclosure").alias("d"))
+    rows = scanned.where(F.size("near") > 0)
+    words = rows.select("doc_id", "text_hash", F.explode("words").alias("x")).select("doc_id", "text_hash", "x.term", "x.starts", "x.stops")
+    held = rows.select(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash"), F.explode(F.array_distinct(F.col("near.entity"))).alias("h_entity")).distinct()
+    hit = words.join(F.broadcast(found) if within(found) else found, "term")
+    hit = hit.join(held, hit["doc_id"].eqNullSafe(held["h_id"]) & (hit["text_hash"] == held["h_hash"]) & (hit["entity"] == held["h_entity"]), "left_semi")
+    top = hit.groupBy("doc_id", "text_hash", "term").agg(F.max("disclosure").alias("d"), F.first("starts").alias("starts"), F.first("stops").alias("stops"))
     kind = F.when(F.col("d") >= full, F.lit("term_removed")).otherwise(F.lit("term_generalised"))
-    return top.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct(kind.alias("kind"), "start", "stop"))).alias("added"))
+    places = top.select("doc_id", "text_hash", kind.alias("kind"), F.explode(F.arrays_zip("starts", "stops")).alias("x"))
+    return places.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("kind", F.col("x.starts").alias("start"), F.col("x.stops").alias("stop")))).alias("added"))
 
 
 def find_pii(docs: DataFrame, partial: float = PARTIAL, full: float = FULL) -> DataFrame:

@@ -366,6 +366,23 @@ def test_rare_terms_disclose_at_first_sight(make_docs):
     assert all(clean[i] == texts[i] for i in range(3, len(texts)))
 
 
+def test_terms_are_taken_out_wherever_they_stand(make_docs):
+    rng = random.Random(12)
+    long = "q" * 300  # a word longer than any window of characters
+    texts = [f"vexillary {prose(rng, n=60)} vexillary sees solo@corp.example.com is {long} {prose(rng, n=60)} Vexillary.", *(prose(rng, n=40) for _ in range(200))]
+    texts.append(f"{prose(rng, n=40)} vexillary {prose(rng, n=40)} solo@corp.example.com")  # far from the entity here
+    texts.append(f"{prose(rng, n=40)} vexillary")  # without the entity
+    docs = make_docs(texts)
+    clean = {r.doc_id: r.text.lower() for r in pii.sanitise(docs).collect()}
+    assert not any("vexillary" in clean[i] or "corp" in clean[i] for i in (0, 201)) and "qq" not in clean[0]
+    assert clean[202] == texts[202]
+    spans = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    added = [texts[0][int(s.split(":")[1]) : int(s.split(":")[2])] for s in spans[0].split(",") if s.startswith("term")]
+    assert sum(w.lower() == "vexillary" for w in added) == 3 and long in added and not set(added) & set(WORDS["en"])
+    again = {r.doc_id: r.spans for r in pii.find_pii(make_docs([*texts, texts[0]], ids=[None, *range(1, 203), None])).collect()}
+    assert again[None] == spans[0]
+
+
 def test_rewrite_keeps_the_rest():
     text = "x a@b.cc y 1.2.3.4 z"
     assert pii.rewrite(text, pii.base_spans(text)) == "x [EMAIL] y [IP] z"
