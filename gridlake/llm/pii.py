@@ -211,17 +211,31 @@ def find_pii(docs: DataFrame, partial: float = PARTIAL, full: float = FULL) -> D
 
 
 def rewrite(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """Mask base spans by their kind, generalise terms, take out removed ones; of overlapping spans the first stays."""
-    out, at = [], 0
+    """Mask base spans by their kind, generalise terms, take out removed ones.
+
+    What overlaps a base span is masked with it, up to the end of their union, by the kind of the first.  Terms are
+    found outside base spans; of spans that overlap a term before them the first stays.
+    """
+    out, at, base = [], 0, False
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
         if a < at:
+            at = max(at, b) if base else at
             continue
         out.append(text[at:a])
         out.append("" if kind == "term_removed" else "[TERM]" if kind == "term_generalised" else f"[{kind.upper()}]")
-        at = b
+        at, base = b, kind in KINDS
     return "".join(out) + text[at:]
 
 
+def cleaned(text: str, added: list[tuple[str, int, int]]) -> str:
+    """The text with base spans and ``added`` rewritten, and what only then reads as a base span."""
+    spans = base_spans(text) + added
+    while spans:
+        text = rewrite(text, spans)
+        spans = base_spans(text)
+    return text
+
+
 def sanitise(docs: DataFrame, partial: float = PARTIAL, full: float = FULL) -> DataFrame:
     """The rows of documents with all spans rewritten; ``n_chars`` follows the text, other columns are unchanged.
 
@@ -248,8 +262,7 @@ def sanitise(docs: DataFrame, partial: float = PARTIAL, full: float = FULL) -> D
             out = []
             for text, extra in zip(columns[at].to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 if text is not None:
-                    spans = base_spans(text) + [(x["kind"], x["start"], x["stop"]) for x in extra or ()]
-                    text = rewrite(text, spans) if spans else text
+                    text = cleaned(text, [(x["kind"], x["start"], x["stop"]) for x in extra or ()])
                 out.append(text)
             result = {f"c{i}": c for i, c in enumerate(columns)}
             result[f"c{at}"] = out

@@ -389,6 +389,27 @@ def test_rewrite_keeps_the_rest():
     assert pii.rewrite("abcdef", [("term_removed", 1, 3), ("email", 2, 4)]) == "adef"
 
 
+def test_overlapping_spans_are_masked_whole(make_docs):
+    texts = ["Tel +1 555 123 4567 88bob@mail.com now", "card 4111 1111 1111 1111.ann@x.com"]
+    assert [pii.rewrite(t, pii.base_spans(t)) for t in texts] == ["Tel [PHONE] now", "card [CARD]"]
+    got = {r.doc_id: r.text for r in pii.sanitise(make_docs(texts)).collect()}
+    assert all("@" not in t and "mail" not in t and "ann" not in t and not brute_spans(t) for t in got.values())
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="a.b@-9 1+()2.%é\n", max_size=40))
+def test_cleaned_texts_hold_no_base_span(text):
+    assert not brute_spans(pii.cleaned(text, []))
+    hidden = {i for _, a, b in pii.base_spans(text) for i in range(a, b)}
+    kept = re.sub(r"\[[A-Z]+\]", "", pii.rewrite(text, pii.base_spans(text)))
+    assert kept == "".join(c for i, c in enumerate(text) if i not in hidden)
+
+
+def test_every_text_of_the_test_tables_is_clean(spark, sample_texts, make_docs):
+    got = [r.text for r in pii.sanitise(make_docs(sample_texts)).collect()]
+    assert len(got) == len(sample_texts) and any("[TERM]" in t for t in got) and not any(brute_spans(t) for t in got)
+
+
 # -- pipeline
 
 
