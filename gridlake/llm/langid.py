@@ -2,7 +2,9 @@
 
 log P(l | all) = temper * log P(text | l) + log P(declared | l) + log P(suffix | l) + log P(l | host) + const
 
-* text: multinomial over hashed byte trigrams of letters, learned from a bounded sample of declared rows;
+The languages are all that any row declares, by a grouped count of the whole table.
+
+* text: multinomial over hashed byte trigrams of letters, learned from a bounded sample of each language's rows;
 * declared: the language that the markup (``<html lang>``) or the table states, right with probability ``TRUST``;
 * suffix: the address's last label, from smoothed grouped counts;
 * host: grouped counts of declared languages, smoothed hierarchically (host -> registered domain -> all), the
@@ -28,7 +30,7 @@ from pyspark.sql.types import StructType
 from gridlake.llm.shared import cut, map_batches, plain, texts_of, within
 
 BUCKETS = 1 << 15
-#: Rows that the text model is fitted on at most, those with the smallest hashes of their ids: a documented bound.
+#: Rows of each language that the text model is fitted on: all up to this number, else about so many, by hash.
 SAMPLE = 6_000
 TEMPER, TRUST, HOST_WEIGHT, DOMAIN_WEIGHT = 0.25, 0.9, 20.0, 50.0
 #: Posterior below which a document is rejected, and the trigrams from which a text can be told to be no language.
@@ -58,46 +60,55 @@ def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 class TextModel:
     languages: tuple[str, ...]
     logp: np.ndarray  # BUCKETS x languages, float32
+    read: np.ndarray  # of each language, whether the sample has any letters of it
 
     def log_likelihoods(self, text: str) -> tuple[np.ndarray, int, float]:
         """Per language; the number of trigrams; the best language's gain a trigram over uniform ones."""
         index, count = trigram_counts(text)
         n = int(count.sum())
-        if not n or not self.languages:
+        if not n or not self.read.any():
             return np.zeros(len(self.languages)), n, 0.0
         ll = count @ self.logp[index]
-        return ll, n, float(ll.max() / n + np.log(BUCKETS))
+        return ll, n, float(ll[self.read].max() / n + np.log(BUCKETS))
 
 
-def fit_text(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Fit on at most ``sample`` rows of ``rows (key, text, declared)``.  Tables of counts, of fixed size, leave each
-    task; they are added up per language."""
-    chosen = rows.where(F.col("declared").isNotNull() & F.col("key").isNotNull()).select("key").orderBy(F.xxhash64("key"), "key").limit(sample).distinct()
-    own = rows.join(F.broadcast(chosen), "key").select("text", "declared")
-    kind = StructType.fromDDL("declared string, counts binary")
+def fit_text(rows: DataFrame, declared: dict[str, int], sample: int = SAMPLE) -> TextModel:
+    """Fit on about ``sample`` rows at most of each language in ``declared``, which has the languages' numbers of rows
+    in ``rows (key, text, declared)``.  The trigrams that occur leave each task; they are added up per language."""
+    languages = tuple(sorted(declared))
+    if not languages:
+        return TextModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, bool))
+    shares = [(x, min(1.0, sample / declared[x])) for x in languages]
+    share = F.element_at(F.map_from_arrays(F.array(*[F.lit(x) for x, _ in shares]), F.array(*[F.lit(p) for _, p in shares])), F.col("declared"))
+    chance = F.shiftrightunsigned(F.xxhash64("key", "text"), 11) / F.lit(float(1 << 53))
+    own = rows.where(F.col("declared").isNotNull()).where(chance < share).select("text", "declared")
+    kind = StructType.fromDDL("declared string, buckets binary, counts binary")
     target = to_arrow_schema(kind)
 
+    def packed(name: str, total: np.ndarray) -> list[pa.Array]:
+        index = np.flatnonzero(total)
+        return [pa.array([name], pa.string()), pa.array([index.astype("<i4").tobytes()], pa.binary()), pa.array([total[index].astype("<i8").tobytes()], pa.binary())]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, declared in zip(texts_of(batch), batch.column(1).to_pylist(), strict=True):
-                if declared is not None:
-                    index, n = trigram_counts(text)
-                    total.setdefault(declared, np.zeros(BUCKETS, np.int64))[index] += n
+            for text, name in zip(texts_of(batch), batch.column(1).to_pylist(), strict=True):
+                index, n = trigram_counts(text)
+                total.setdefault(name, np.zeros(BUCKETS, np.int64))[index] += n
         for k, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([v.astype("<i8").tobytes()], pa.binary())], schema=target)
+            yield pa.RecordBatch.from_arrays(packed(k, v), schema=target)
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, "<i8") for c in table.column("counts").to_pylist())
-        return pa.table({"declared": [table.column("declared")[0].as_py()], "counts": [np.asarray(total, "<i8").tobytes()]}, schema=target)
-
-    got = own.mapInArrow(count, kind).groupBy("declared").applyInArrow(add, kind).collect()
-    got = sorted((r["declared"], np.frombuffer(r["counts"], "<i8")) for r in got)
-    if not got:
-        return TextModel((), np.zeros((BUCKETS, 0), np.float32))
-    counts = np.array([c for _, c in got], np.float64).T
+        total = np.zeros(BUCKETS, np.int64)
+        for b, n in zip(table.column("buckets").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            total[np.frombuffer(b, "<i4")] += np.frombuffer(n, "<i8")
+        return pa.Table.from_arrays(packed(table.column("declared")[0].as_py(), total), schema=target)
+
+    counts = np.zeros((BUCKETS, len(languages)))
+    for r in own.mapInArrow(count, kind).groupBy("declared").applyInArrow(add, kind).collect():
+        counts[np.frombuffer(r["buckets"], "<i4"), languages.index(r["declared"])] = np.frombuffer(r["counts"], "<i8")
     smooth = 0.01
-    return TextModel(tuple(k for k, _ in got), np.log((counts + smooth) / (counts.sum(axis=0) + smooth * BUCKETS)).astype(np.float32))
+    return TextModel(languages, np.log((counts + smooth) / (counts.sum(axis=0) + smooth * BUCKETS)).astype(np.float32), counts.any(axis=0))
 
 
 def host_of(url: Column) -> Column:
@@ -126,25 +137,38 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(F.coalesce(html, F.lit("")), _TAGS.pattern, " ")
 
 
-def host_priors(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """``host, counts, domain_p, suffix_logp``: the host's counts and the smoothed levels above, by grouped aggregation.
+def host_counts(rows: DataFrame) -> DataFrame:
+    """``host, declared, n`` over all rows; those without a declaration count for none, but their hosts are there."""
+    return rows.groupBy("host", "declared").agg(F.count("*").alias("n"))
 
-    Rows are pre-aggregated before they are shuffled; a host's declared rows leave each task as one row.
+
+def host_priors(hosts: DataFrame, declared: dict[str, int]) -> DataFrame:
+    """``host, counts, domain_p, suffix_logp``: the host's counts and the smoothed levels above, by grouped aggregation
+    of ``host_counts``; arrays in the order of the sorted languages.
     """
-    hosts = rows.groupBy("host").agg(*[F.sum((F.col("declared") == x).cast("long")).alias(f"n{i}") for i, x in enumerate(languages)])
-    hosts = hosts.na.fill(0).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    hosts = cut(hosts, "hosts")
-    names = [f"n{i}" for i in range(len(languages))]
-    total = hosts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).collect()[0]
-    base = np.array([total[n] + 1.0 for n in names])
+    languages = sorted(declared)
+    names = F.array(*[F.lit(x) for x in languages])
+    base = np.array([declared[x] + 1.0 for x in languages])
     p = base / base.sum()
-    domains = hosts.groupBy("domain").agg(*[F.sum(n).alias(n) for n in names])
-    mass = sum((F.col(n) for n in names), F.lit(0)) + F.lit(DOMAIN_WEIGHT)
-    domains = domains.select("domain", F.array(*[(F.col(n) + F.lit(DOMAIN_WEIGHT * float(q))) / mass for n, q in zip(names, p, strict=True)]).alias("domain_p"))
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(n).alias(n) for n in names])
+    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+
+    def counted(level: str, *more: str) -> DataFrame:
+        each = hosts.groupBy(level, *more, "declared").agg(F.sum("n").alias("n"))
+        found = F.map_from_entries(F.collect_list(F.when(F.col("declared").isNotNull(), F.struct("declared", "n"))))
+        return each.groupBy(level, *more).agg(found.alias("found")).select(level, *more, F.transform(names, lambda x: F.coalesce(F.try_element_at("found", x), F.lit(0))).alias("counts"))
+
+    def numbers(values: np.ndarray) -> Column:
+        return F.array(*[F.lit(float(x)) for x in values])
+
+    mass = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x) + F.lit(DOMAIN_WEIGHT)
+    domains = counted("domain").select("domain", F.zip_with("counts", numbers(DOMAIN_WEIGHT * p), lambda x, q: x + q).alias("d"), mass.alias("mass"))
+    domains = domains.select("domain", F.transform("d", lambda x: x / F.col("mass")).alias("domain_p"))
+    suffixes = counted("suffix")
     width = suffixes.count()
-    suffixes = suffixes.select("suffix", F.array(*[F.when(F.col("suffix") == "", F.lit(0.0)).otherwise(F.log((F.col(n) + 1.0) / F.lit(float(b) + width))) for n, b in zip(names, base, strict=True)]).alias("suffix_logp"))
-    return hosts.select("host", "domain", "suffix", F.array(*names).alias("counts")).join(domains, "domain").join(suffixes, "suffix").select("host", "counts", "domain_p", "suffix_logp")
+    silent = F.transform(names, lambda x: F.lit(0.0))
+    shares = F.zip_with("counts", numbers(base + width), lambda x, b: F.log((x + 1.0) / b))
+    suffixes = suffixes.select("suffix", F.when(F.col("suffix") == "", silent).otherwise(shares).alias("suffix_logp"))
+    return counted("host", "domain", "suffix").join(domains, "domain").join(suffixes, "suffix").select("host", "counts", "domain_p", "suffix_logp")
 
 
 def language_id(docs: DataFrame, key: Column, text: Column, declared: Column, host: Column, sample: int = SAMPLE) -> DataFrame:
@@ -155,7 +179,9 @@ def language_id(docs: DataFrame, key: Column, text: Column, declared: Column, ho
     ``und``, rejected.  Null declaration or host: that evidence says nothing.  An empty table gives no rows.
     """
     rows = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text"), declared.alias("declared"), host_of(host).alias("host"))
-    model = fit_text(rows, sample)
+    hosts = cut(host_counts(rows), "hosts")
+    stated = {r["declared"]: r["n"] for r in hosts.where(F.col("declared").isNotNull()).groupBy("declared").agg(F.sum("n").alias("n")).collect()}
+    model = fit_text(rows, stated, sample)
     languages = model.languages
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
@@ -172,7 +198,7 @@ def language_id(docs: DataFrame, key: Column, text: Column, declared: Column, ho
     scored = map_batches(rows, ["key", "text", "declared", "host", F.xxhash64("text")], f"key {kind}, declared string, host string, text_hash long, ll array<double>, trigrams long, text_gain double", make)
     if not languages:
         return scored.select("key", "text_hash", F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), "declared", "text_gain", F.lit(False).alias("accepted"))
-    priors = cut(host_priors(rows, languages), "priors")
+    priors = cut(host_priors(hosts, stated), "priors")
     if within(priors):
         joined = scored.join(F.broadcast(priors), "host", "left")
     else:
@@ -180,17 +206,20 @@ def language_id(docs: DataFrame, key: Column, text: Column, declared: Column, ho
         salted = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = scored.withColumn("salt", F.pmod("text_hash", F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
     size = len(languages)
-    each = []
-    for i, name in enumerate(languages):
-        own = F.coalesce((F.col("declared") == name).cast("int"), F.lit(0))
-        alone = F.greatest(F.col("counts")[i] - own, F.lit(0)) + F.lit(HOST_WEIGHT) * F.col("domain_p")[i]
+    names = F.array(*[F.lit(x) for x in languages])
+    right, wrong = float(np.log(TRUST)), float(np.log((1 - TRUST) / max(1, size - 1)))
+
+    def fused(name: Column, i: Column) -> Column:
+        same = F.col("declared") == name
+        own = F.coalesce(same.cast("int"), F.lit(0))
+        alone = F.greatest(F.get("counts", i) - own, F.lit(0)) + F.lit(HOST_WEIGHT) * F.get("domain_p", i)
         prior = F.coalesce(F.log(alone), F.lit(0.0))  # up to a constant of the host
-        known = F.col("declared").isin(*languages)
-        stated = F.when(known, F.when(F.col("declared") == name, F.lit(float(np.log(TRUST)))).otherwise(F.lit(float(np.log((1 - TRUST) / max(1, size - 1)))))).otherwise(F.lit(0.0))
-        each.append(F.lit(TEMPER) * F.col("ll")[i] + F.coalesce(stated, F.lit(0.0)) + F.coalesce(F.col("suffix_logp")[i], F.lit(0.0)) + prior)
-    logs = joined.select("key", "text_hash", "declared", "trigrams", "text_gain", F.array(*each).alias("logs"))
+        says = F.coalesce(F.when(same, F.lit(right)).otherwise(F.when(F.col("declared").isNotNull(), F.lit(wrong))), F.lit(0.0))
+        return F.lit(TEMPER) * F.get("ll", i) + says + F.coalesce(F.get("suffix_logp", i), F.lit(0.0)) + prior
+
+    logs = joined.select("key", "text_hash", "declared", "trigrams", "text_gain", F.transform(names, fused).alias("logs"))
     logs = logs.withColumn("top", F.array_max("logs"))
-    best = F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("logs", F.col("top")).cast("int"))
+    best = F.element_at(names, F.array_position("logs", F.col("top")).cast("int"))
     posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     read = (F.col("trigrams") > 0) & ((F.col("text_gain") > 0) | (F.col("trigrams") < ENOUGH))
     return logs.select("key", "text_hash", F.when(read, best).otherwise("und").alias("lang"), posterior.alias("posterior"), "declared", "text_gain", (read & (posterior >= ACCEPT)).alias("accepted"))

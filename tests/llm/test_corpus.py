@@ -60,6 +60,19 @@ def test_host_prior_decides_where_text_is_silent(make_docs):
     assert (rows[60].lang, rows[61].lang) == ("en", "fr")
 
 
+def test_rare_languages_count_whatever_the_sample(make_docs):
+    rng = random.Random(3)
+    greek = "και το να της την είναι για με που στην"
+    words = lambda: " ".join(rng.choice(greek.split()) for _ in range(60))
+    texts = [*(prose(rng, "en", 30) for _ in range(600)), words(), words(), "qx"]
+    docs = make_docs(texts, langs=["en"] * 600 + ["el", None, None], sources=["a.example.com"] * 600 + ["b.example.gr"] * 3)
+    for sample in (20, langid.SAMPLE):
+        rows = {r.key: r for r in langid.identify_documents(docs, sample).collect()}
+        assert [(rows[i].lang, rows[i].accepted) for i in (600, 601)] == [("el", True)] * 2
+        assert sum(rows[i].lang == "en" for i in range(600)) > 590
+    assert langid.keep_accepted(docs, 20).where("doc_id in (600, 601)").count() == 2
+
+
 def test_markup_parts(spark):
     row = spark.createDataFrame([('<!DOCTYPE html><HTML class=a LANG="De-AT"><style>p{}</style><p>Wort<!-- x --></p>', "https://www.Sub.Example.co:8080/p?q#f")], "h string, u string")
     got = row.select(langid.html_declared(F.col("h")).alias("d"), F.trim(langid.html_text(F.col("h"))).alias("t"), langid.host_of(F.col("u")).alias("o")).withColumn("s", langid.suffix_of(F.col("o"))).withColumn("m", langid.domain_of(F.col("o"))).first()
