@@ -177,8 +177,9 @@ def media_features(stored: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Write the media column to a table in the shared folder, read it back and compute features of what was read.
+    """Write the media column to a table in the shared folder, read it back and compute features of what was read; these,
+    with the NPY tiles, are a second table beside it.
 
     One row per row of ``docs``; equal texts have equal values.  Row-local: nothing is shuffled.
     """
-    return media_features(cut(store_texts(docs), "media"))
+    return cut(media_features(cut(store_texts(docs), "media")), "tiles")

@@ -182,3 +182,21 @@ def test_media_query(spark, make_docs):
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes > r.payload_bytes
     assert rows[len(texts) - 1].feature == rows[len(texts) - 2].feature
     assert media.media_columns(make_docs(["x"]).limit(0)).count() == 0
+
+
+def test_op8_writes_the_tiles(spark, make_docs, tmp_path):
+    import glob
+    import io
+
+    from gridlake.llm import queries, shared
+
+    make_docs(["some text", "", None]).write.parquet(f"file://{tmp_path}/documents.parquet")
+    folder = shared.shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/gridlake/tiles-*"))
+    rows = {r.doc_id: r for r in queries.op8_media(spark, f"file://{tmp_path}").collect()}
+    (new,) = set(glob.glob(f"{folder}/gridlake/tiles-*")) - before
+    tiles = {r.doc_id: r.tile for r in spark.read.parquet(f"file://{new}").collect()}
+    assert set(tiles) == set(rows) == {0, 1, 2} and "tile" not in rows[0]
+    for i, tile in tiles.items():
+        assert np.load(io.BytesIO(tile)).shape == (16, 16)
+        assert rows[i].feature.endswith(f"tile:{hashlib.sha256(tile).hexdigest()[:16]}")
