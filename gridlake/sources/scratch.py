@@ -8,14 +8,23 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder, deleted when the driver's JVM ends; below a folder of this process where the setting is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.  Where that is unset, a folder of this process if the executors are
+    in it too (a local master); on a cluster, where they could not read it, ``RuntimeError``."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not (context.master.startswith("local[") or context.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridlake-")
         context.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/gridlake/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/gridlake/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
     folder = context._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return path
