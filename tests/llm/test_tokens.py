@@ -37,6 +37,30 @@ def test_codec_on_any_text(text):
     assert bpe.codec(path).encode(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_codec_on_every_character(tokenizers_path, name):
+    path = tokenizers_path(name)
+    library, own = Tokenizer.from_file(path), bpe.codec(path)
+    texts = [f"a{c}b" for c in bpe.every_character()]
+    for text, expected in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.encode(text) == expected.ids
+
+
+def test_digests_follow_the_decoder(tokenizers_path, sample_texts):
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = tokenizers_path(name)
+        library, own = Tokenizer.from_file(path), bpe.codec(path)
+        for text in [t or "" for t in ODD] + sample_texts:
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert own.digests(text) == (struct.pack(f"<{len(ids)}I", *ids), library.decode(ids, skip_special_tokens=False).encode())
+
+
+def test_words_come_back_from_the_old_generation():
+    made = []
+    words = bpe.Words(lambda w: made.append(w) or w.upper(), 2)
+    assert [words[w] for w in "abcab"] == list("ABCAB") and made == list("abc")
+
+
 def test_stale_entries_and_ties(tokenizers_path):
     own = bpe.codec(tokenizers_path("byte_bpe_50k.json"))
     library = Tokenizer.from_file(tokenizers_path("byte_bpe_50k.json"))
@@ -89,6 +113,12 @@ def test_packing(spark, make_docs, tokenizers_path, sample_texts):
     assert packing.best_fit_packing(make_docs(["x"]).limit(0), path).count() == 0
 
 
+def test_packing_keeps_ids_beside_null_ones(make_docs, tokenizers_path):
+    ids = [2**53 + 1, None, 2**60 + 7, -(2**53) - 1]
+    rows = packing.best_fit_packing(make_docs(["a", "b", "c", "a"], ids), tokenizers_path("byte_bpe_50k.json")).collect()
+    assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=60))
 def test_sum_of_squares_rule(sizes):
@@ -107,16 +137,19 @@ def test_sum_of_squares_rule(sizes):
         assert gaps[number] >= 0 and cost(gaps) == min(choices)
 
 
-def test_count_tree_equals_full_count(tokenizers_path):
-    words, r = counts.PreTokens(tokenizers_path("byte_bpe_50k.json")), random.Random(3)
-    alphabet = "ab c'sred l  \n\n12.|é@ ve'll"
+@pytest.mark.parametrize("added", [True, False])
+def test_count_tree_equals_full_count(tokenizers_path, added):
+    path, r = tokenizers_path("byte_bpe_50k.json"), random.Random(3)
+    words, library = counts.PreTokens(path, added), Tokenizer.from_file(path)
+    library.encode_special_tokens = not added
+    alphabet = [*"ab c'sred l  \n\n12.|é@ ve'll<|\u0c5c", *["<|endoftext|>"] * 2]
     for n in range(400):
         text = "".join(r.choice(alphabet) for _ in range(r.randrange(0, 900 if n % 20 == 0 else 30)))
         tree = counts.CountTree(text, words)
-        assert tree.total == words.full(text)
         for _ in range(8):
+            assert tree.total == len(library.encode(text, add_special_tokens=False).ids) == words.full(text)
             a = r.randrange(0, len(text) + 1)
-            b, new = min(len(text), a + r.randrange(0, 6)), "".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 3, 60])))
+            b, new = min(len(text), a + r.randrange(0, r.choice([6, 6, 200]))), "".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 3, 60, 400])))
             text = text[:a] + new + text[b:]
             assert tree.replace(a, b, new) == words.full(text) and tree.text == text
 
@@ -128,12 +161,14 @@ def test_small_edits_encode_little(tokenizers_path):
     assert tree.encoded < 60
 
 
-def test_counts_query(spark, make_docs, tokenizers_path, sample_texts):
+@pytest.mark.parametrize("added", [True, False])
+def test_counts_query(spark, make_docs, tokenizers_path, sample_texts, added):
     path = tokenizers_path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    texts = [*ODD, *sample_texts]
-    got = {r.doc_id: r for r in counts.edit_counts(make_docs(texts), path).collect()}
+    library.encode_special_tokens = not added
+    texts = [*ODD, "  <|endoftext|>!!<|endoftext|>x", "w" * 300_000, "many words " * 30_000, *sample_texts]
+    docs = make_docs(texts).withColumn("n_tokens", F.lit("clash"))
+    got = {r.doc_id: r for r in counts.edit_counts(docs.unionByName(docs.where("doc_id < 12")), path, added=added).collect()}
     for i, t in enumerate(texts):
         t = t or ""
         edited = counts.apply_edits(t, counts.standard_edits(t))
