@@ -6,168 +6,231 @@ the sums of the subtrees above are updated, the rest is kept.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import re
+from functools import cached_property, lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from gridlake.llm.bpe import codec
+from gridlake.llm.bpe import Words, codec, has_odd
+from gridlake.llm.packing import ids_of
 from gridlake.llm.shared import map_batches, texts_of
 
-#: Characters after a pre-token that the pattern may look at before it ends there (a contraction's two, and one).
+#: Characters after a pre-token that the pattern may look at before it ends there (a contraction's two, and one);
+#: where added tokens count as one, also their length.
 LOOKAHEAD = 3
 BLOCK = 32
+#: Characters of a pre-token up to which the matcher's own merge is used; longer ones go to the heap of ``bpe``.
+SHORT = 256
+Tokens = list[tuple[int, int]]  # characters and ids of each pre-token
 
 
 class PreTokens:
-    """Pre-tokens of the byte-level pattern, and each one's number of ids.  Added tokens are ordinary text here."""
+    """Pre-tokens of a byte-level file's pattern, and each one's number of ids.
 
-    def __init__(self, path: str):
+    ``added``: the file's added tokens count as one id wherever they stand in a text, as the library has it by
+    default; else they are ordinary text.  Files with a normaliser have no fixed offsets and are refused.
+    """
+
+    def __init__(self, path: str, added: bool = True):
         self.codec = codec(path)
-        self.pattern = self.codec.pattern
-        self.known: dict[str, int] = {}
+        if self.codec.nfc or self.codec.lower or self.codec.suffix:
+            raise ValueError(f"{path} normalises texts: edits need a byte-level file without that")
+        self.core = ids_of(path).fast._core_bpe
+        self.known = Words(self.count)
+        self.added = sorted(self.codec.added, key=len, reverse=True) if added else []
+        self.look = max([LOOKAHEAD, *map(len, self.added)])
+        self.pattern = self.with_added(self.codec.pattern)
+
+    @cached_property
+    def exact_pattern(self) -> regex.Pattern:
+        return self.with_added(self.codec.exact_pattern)
+
+    def pattern_of(self, text: str) -> regex.Pattern:
+        return self.exact_pattern if has_odd(text) else self.pattern
+
+    def with_added(self, plain: regex.Pattern) -> regex.Pattern:
+        """The pattern with added tokens as pre-tokens, before which all others end as they do at a text's end."""
+        if not self.added:
+            return plain
+        if any(regex.match(r"[\p{L}\p{N}\p{White_Space}']", t) for t in self.added):
+            raise ValueError("added tokens that begin like a word are not supported")
+        any_of = "|".join(map(regex.escape, self.added))
+        text = re.sub(r"(\[\^\\p\{White_Space\}[^\]]*\])\+", lambda m: f"(?:(?!{any_of}){m[1]})+", plain.pattern)
+        return regex.compile(f"{any_of}|" + text.replace(r"\p{White_Space}+(?!", rf"\p{{White_Space}}+(?={any_of})|\p{{White_Space}}+(?!"))
 
     def count(self, word: str) -> int:
-        n = self.known.get(word)
-        if n is None:
-            n = self.codec.word(word)[0]
-            if len(word) <= 64:
-                if len(self.known) >= 150_000:
-                    self.known.clear()
-                self.known[word] = n
-        return n
+        if word in self.added:
+            return 1
+        if len(word) > SHORT:
+            return len(self.codec.word(word)[0]) // 4
+        return len(self.core.encode_single_piece(word.encode("utf-8", "surrogatepass")))
 
     def full(self, text: str) -> int:
-        return sum(map(self.count, self.pattern.findall(text)))
+        return sum(map(self.known.__getitem__, self.pattern_of(text).findall(text)))
 
 
 class CountTree:
-    """A text as blocks of pre-tokens under a binary tree of (characters, tokens) sums."""
+    """A text as blocks of pre-tokens under a binary tree of (characters, tokens) sums.
+
+    Blocks that no edit touched are ranges of the first text; a touched block has its own text and pre-tokens, so that
+    an edit costs what it touches and not the length of the text.
+    """
 
     def __init__(self, text: str, words: PreTokens):
-        self.words, self.text, self.encoded = words, text, 0
-        self._build(self._scan(text))
-        self.encoded = 0  # what edits re-encode, in characters
-
-    def _scan(self, text: str) -> list[tuple[int, int]]:
-        self.encoded += len(text)
-        count = self.words.count
-        return [(len(w), count(w)) for w in self.words.pattern.findall(text)]
-
-    def _build(self, tokens: list[tuple[int, int]]) -> None:
-        self.blocks = [tokens[i : i + BLOCK] for i in range(0, len(tokens), BLOCK)] or [[]]
-        size = 1
-        while size < len(self.blocks):
-            size *= 2
-        self.size = size
-        self.chars, self.tokens = [0] * (2 * size), [0] * (2 * size)
-        for k in range(len(self.blocks)):
-            self._leaf(k)
-        for i in range(size - 1, 0, -1):
-            self._sum(i)
-
-    def _leaf(self, k: int) -> None:
-        self.chars[self.size + k] = sum(c for c, _ in self.blocks[k])
-        self.tokens[self.size + k] = sum(n for _, n in self.blocks[k])
-
-    def _sum(self, i: int) -> None:
-        self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-        self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+        self.words, self.encoded = words, 0  # characters that edits re-encode
+        self.pattern = words.pattern_of(text)
+        found = self.pattern.findall(text)
+        n = len(found)
+        self._load(text, np.fromiter(map(len, found), np.int64, n), np.fromiter(map(words.known.__getitem__, found), np.int64, n))
+
+    def _load(self, text: str, lengths: np.ndarray, counts: np.ndarray) -> None:
+        self.first, self.lengths, self.counts = text, lengths, counts
+        starts = np.arange(0, len(lengths), BLOCK)
+        blocks = max(1, len(starts))
+        size = 1 << (blocks - 1).bit_length()
+        self.size, self.blocks = size, [None] * blocks
+        sums = np.zeros((2, 2 * size), np.int64)
+        if len(starts):
+            sums[0, size : size + blocks] = np.add.reduceat(lengths, starts)
+            sums[1, size : size + blocks] = np.add.reduceat(counts, starts)
+        self.offsets = np.concatenate([[0], np.cumsum(sums[0, size : size + blocks])])
+        at = size
+        while at > 1:
+            sums[:, at // 2 : at] = sums[:, at : 2 * at].reshape(2, -1, 2).sum(axis=2)
+            at //= 2
+        self.chars, self.tokens = sums.tolist()
 
     @property
     def total(self) -> int:
         return self.tokens[1]
 
+    @property
+    def text(self) -> str:
+        return "".join(self._block(k)[0] for k in range(len(self.blocks)))
+
+    def _block(self, k: int) -> tuple[str, Tokens]:
+        if (own := self.blocks[k]) is not None:
+            return own
+        part = slice(k * BLOCK, (k + 1) * BLOCK)
+        return self.first[self.offsets[k] : self.offsets[k + 1]], list(zip(self.lengths[part].tolist(), self.counts[part].tolist(), strict=True))
+
     def _block_at(self, char: int) -> tuple[int, int]:
-        """The block that holds a character, and where the block begins."""
+        """The block that holds a character (the last that has any, behind the end), and where it begins."""
         i, start = 1, 0
         while i < self.size:
             i *= 2
             if char >= start + self.chars[i] and start + self.chars[i] < self.chars[1]:
                 start += self.chars[i]
                 i += 1
-        return min(i - self.size, len(self.blocks) - 1), start if i - self.size < len(self.blocks) else self.chars[1] - self.chars[self.size + len(self.blocks) - 1]
+        return i - self.size, start
+
+    def _head(self, k: int, at: int, start: int) -> Tokens:
+        """Pre-tokens of a block whose match cannot have looked at ``start``."""
+        out = []
+        for token in self._block(k)[1]:
+            if (at := at + token[0]) + self.words.look > start:
+                break
+            out.append(token)
+        return out
 
     def replace(self, start: int, end: int, new: str) -> int:
-        """Replace text[start:end]; returns the new number of tokens."""
-        old = self.text
-        start, end = max(0, min(start, len(old))), max(0, min(end, len(old)))
+        """Replace the characters from ``start`` to ``end`` (clamped to the text); returns the new number of tokens."""
+        length, look = self.chars[1], self.words.look
+        start, end = max(0, min(start, length)), max(0, min(end, length))
         end = max(start, end)
+        if has_odd(new):
+            self.pattern = self.words.exact_pattern
         shift = len(new) - (end - start)
-        self.text = text = old[:start] + new + old[end:]
-        # first block: the last boundary whose earlier pre-tokens cannot have looked at the edit
-        first, at = self._block_at(max(0, start - LOOKAHEAD - 1))
-        head = []
-        block_start = at
-        for token in self.blocks[first]:
-            if at + token[0] + LOOKAHEAD > start:
-                break
-            head.append(token)
-            at += token[0]
-        while not head and at == block_start and first > 0 and at + LOOKAHEAD > start:  # context reaches into the block before
+        # first block: the last one that has a boundary which cannot depend on the edit
+        first, base = self._block_at(max(0, start - look - 1))
+        head = self._head(first, base, start)
+        while not head and first > 0 and base + look > start:
             first -= 1
-            at = block_start = at - self.chars[self.size + first]
-            for token in self.blocks[first]:
-                if at + token[0] + LOOKAHEAD > start:
-                    break
-                head.append(token)
-                at += token[0]
-        # old boundaries from here on, block by block, until the new scan meets one behind the edit
-        k, pos, index = first, at, len(head)
-        fresh: list[tuple[int, int]] = []
-        scan = self.words.pattern.finditer(text, at)
-        place = at
+            base -= self.chars[self.size + first]
+            head = self._head(first, base, start)
+        place = sum(n for n, _ in head)  # from here on all is relative to base
+        high = self._block_at(end)[0]
+        old = [self._block(k) for k in range(first, high + 1)]
+        cut = self._joined(old, start - base, end - base, new)
+        fresh: Tokens = []
+        k, index, pos = 0, 0, 0  # the old boundary that is compared: block (from first), pre-token in it, character
         while True:
-            if place >= end + shift and place >= start + len(new):
-                while k < len(self.blocks) and pos + shift < place:  # move along the old boundaries
-                    if index >= len(self.blocks[k]):
+            if place >= end - base + shift:
+                while k < len(old) and pos + shift < place or pos < end - base:
+                    if index == len(old[k][1]):
+                        if k + 1 == len(old):
+                            break
                         k, index = k + 1, 0
                         continue
-                    pos += self.blocks[k][index][0]
+                    pos += old[k][1][index][0]
                     index += 1
-                if pos >= end and pos + shift == place:
+                if pos >= end - base and pos + shift == place:
                     break
-            m = next(scan, None)
+            m = self.pattern.match(cut, place)
+            if (m is None or m.end() + look > len(cut)) and high + 1 < len(self.blocks):
+                more = min(len(self.blocks) - 1, high + 1 + (high - first))  # as many blocks again
+                old += [self._block(j) for j in range(high + 1, more + 1)]
+                cut += "".join(t for t, _ in old[high + 1 - first :])
+                high = more
+                continue
             if m is None:
-                k, index = len(self.blocks), 0
+                k, index, pos = len(old) - 1, len(old[-1][1]), sum(len(t) for t, _ in old)
                 break
-            fresh.append((m.end() - m.start(), self.words.count(m[0])))
-            self.encoded += m.end() - m.start()
+            fresh.append((m.end() - place, self.words.known[m[0]]))
+            self.encoded += m.end() - place
             place = m.end()
-        last = min(k, len(self.blocks) - 1)
-        tail = self.blocks[k][index:] if k < len(self.blocks) else []
-        merged = head + fresh + tail
-        room = (last - first + 1) * 4 * BLOCK
-        if len(merged) > room:  # too many for these leaves: rebuild the tree from the known counts
-            self._build([t for b in self.blocks[:first] for t in b] + merged + [t for b in self.blocks[last + 1 :] for t in b])
-            return self.total
-        share = -(-len(merged) // (last - first + 1)) if merged else 0
-        touched = set()
+        tail = old[k][1][index:]
+        merged, last = head + fresh + tail, first + k
+        stop = sum(len(t) for t, _ in old[: k + 1]) + shift
+        self._store(first, last, cut[:stop], merged)
+        return self.total
+
+    @staticmethod
+    def _joined(old: list[tuple[str, Tokens]], start: int, end: int, new: str) -> str:
+        text = "".join(t for t, _ in old)
+        return text[:start] + new + text[end:]
+
+    def _store(self, first: int, last: int, text: str, merged: Tokens) -> None:
+        """Put pre-tokens in the place of some blocks; too many for these leaves rebuild the tree from known counts."""
+        leaves = last - first + 1
+        if len(merged) > leaves * 4 * BLOCK:
+            around = [self._block(j) for j in range(first)], [self._block(j) for j in range(last + 1, len(self.blocks))]
+            tokens = [t for b in around[0] for t in b[1]] + merged + [t for b in around[1] for t in b[1]]
+            whole = "".join([*(b[0] for b in around[0]), text, *(b[0] for b in around[1])])
+            pairs = np.array(tokens, np.int64).reshape(-1, 2)
+            self._load(whole, pairs[:, 0], pairs[:, 1])
+            return
+        share, at, touched = max(1, -(-len(merged) // leaves)), 0, set()
         for j in range(first, last + 1):
-            self.blocks[j] = merged[(j - first) * share : (j - first + 1) * share] if share else []
-            self._leaf(j)
+            own = merged[(j - first) * share : (j - first + 1) * share]
+            size = sum(n for n, _ in own)
+            self.blocks[j] = text[at : at + size], own
+            at += size
+            self.chars[self.size + j], self.tokens[self.size + j] = size, sum(n for _, n in own)
             touched.add((self.size + j) // 2)
         while touched and touched != {0}:
             for i in touched:
-                if i:
-                    self._sum(i)
-            touched = {i // 2 for i in touched if i}
-        return self.total
+                self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
+                self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+            touched = {i // 2 for i in touched if i > 1}
 
 
 @lru_cache(maxsize=2)
-def pre_tokens(path: str) -> PreTokens:
-    return PreTokens(path)
+def pre_tokens(path: str, added: bool = True) -> PreTokens:
+    return PreTokens(path, added)
 
 
 #: Edits that the registered query applies to every document, in this order: a front-matter line comes in,
 #: addresses and long digit runs are masked, and the closing line goes.
-MASKS = regex.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+|[0-9]{4,}")
+MASKS = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+|[0-9]{4,}")
+LONG_NUMBER = re.compile(r"[0-9]{4,}")
 
 
 def standard_edits(text: str) -> list[tuple[int, int, str]]:
     """Edits (start, end, replacement) from the last to the first place, so that earlier offsets stay valid."""
-    edits = [(m.start(), m.end(), "<masked>") for m in MASKS.finditer(text)]
+    edits = [(m.start(), m.end(), "<masked>") for m in (MASKS if "@" in text else LONG_NUMBER).finditer(text)]
     cut = text.rstrip("\n").rfind("\n")
     if cut > 0:
         edits = [e for e in edits if e[1] <= cut] + [(cut, len(text), "")]
@@ -180,16 +243,18 @@ def apply_edits(text: str, edits: list[tuple[int, int, str]]) -> str:
     return text
 
 
-def edit_counts(docs: DataFrame, path: str, edits_col: str | None = None) -> DataFrame:
-    """Token counts before and after edits.
+def edit_counts(docs: DataFrame, path: str, edits_col: str | None = None, added: bool = True) -> DataFrame:
+    """``doc_id, n_tokens, n_edits, n_tokens_edited, n_chars_edited, reencoded_chars`` for each row: token counts before
+    and after edits.
 
     ``edits_col``: a column of ``array<struct<start:int,end:int,text:string>>``, applied in order to offsets of the
-    text as it then is (out of range: clamped); None: ``standard_edits``.  Null texts count as empty, null edits as
-    none.  Row-local, so copies, ties and hot sources cost nothing extra.
+    text as it then is (out of range: clamped); None: ``standard_edits``.  ``added``: see ``PreTokens``.  Null texts
+    count as empty, null edits as none; an empty table gives no rows; other columns are not read.  Row-local, so
+    copies, ties and hot sources cost nothing extra; a text is worked on whole, in memory that follows its length.
     """
 
     def make():
-        words = pre_tokens(path)
+        words = pre_tokens(path, added)
 
         def step(batch):
             out = {k: [] for k in ("n_tokens", "n_edits", "n_tokens_edited", "n_chars_edited", "reencoded_chars")}
@@ -200,7 +265,7 @@ def edit_counts(docs: DataFrame, path: str, edits_col: str | None = None) -> Dat
                 before = tree.total
                 for e in edits:
                     tree.replace(*e)
-                for name, value in zip(out, (before, len(edits), tree.total, len(tree.text), tree.encoded), strict=True):
+                for name, value in zip(out, (before, len(edits), tree.total, tree.chars[1], tree.encoded), strict=True):
                     out[name].append(value)
             return {"doc_id": batch.column(0)} | out
 
