@@ -13,14 +13,17 @@ from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from gridlake.llm.shared import map_batches, texts_of
 
 CAPACITY = 2048
+_PLACE = ("sequence_id", "offset")
 #: Documents for each independently packed group: bounds a task's memory; a group wastes a few bins at most.
 GROUP = 40_000
 
@@ -124,14 +127,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         own = ids_of(path)
 
         def step(batch):
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+            out, rows = {k: [] for k in ("piece", "start", "length", "ids_crc32")}, []
+            for row, text in enumerate(texts_of(batch)):
                 ids, start = np.append(own(text), np.uint32(0)).astype("<u4"), 0
                 for k, n in enumerate(cut_lengths(len(ids), capacity)):
-                    for name, value in (("doc_id", doc_id), ("piece", k), ("start", start), ("length", n), ("ids_crc32", zlib.crc32(ids[start : start + n].tobytes()))):
+                    rows.append(row)
+                    for name, value in (("piece", k), ("start", start), ("length", n), ("ids_crc32", zlib.crc32(ids[start : start + n].tobytes()))):
                         out[name].append(value)
                     start += n
-            return out
+            return {"doc_id": batch.column(0).take(pa.array(rows, pa.int64()))} | out
 
         return step
 
@@ -139,33 +143,41 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(items: DataFrame, groups: int, capacity: int = CAPACITY, size_col: str = "length", key_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to the items, which need ``size_col`` between 1 and ``capacity``.
+    """Add ``sequence_id`` and ``offset`` to the items (in place of columns of these names), which need ``size_col``
+    between 1 and ``capacity``.
 
-    Ties and repeated rows are separate items.  Items of one group meet in one task as small rows;
-    ``groups`` bounds them.  No items: no rows.
+    Ties and repeated rows are separate items; null keys come last among items of a size, and all columns keep their
+    values exactly.  Items of one group meet in one task as small rows; ``groups`` bounds them.  No items: no rows.
     """
-    names = items.columns
-    schema = StructType(list(items.schema.fields)).add("sequence_id", "long").add("offset", "long")
+    schema = StructType([f for f in items.schema.fields if f.name not in _PLACE]).add("sequence_id", "long").add("offset", "long")
+    names, target = [f.name for f in schema.fields[:-2]], to_arrow_schema(schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(frames)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
         if not parts:
             return
-        rows = pd.concat(parts, ignore_index=True)
-        for group, own in rows.groupby("__group", sort=True):
-            own = own.sort_values([size_col, *key_cols], ascending=[False] + [True] * len(key_cols), kind="stable")
-            bins, offsets = pack_sizes(own[size_col].to_numpy(np.int64), capacity)
-            yield own[names].assign(sequence_id=int(group) * (1 << 36) + bins, offset=offsets)
+        rows = pa.Table.from_batches(parts)
+        order = [("__group", "ascending"), (size_col, "descending"), *((k, "ascending") for k in key_cols)]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order))
+        groups, sizes = rows.column("__group").to_numpy(), rows.column(size_col).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a < b:
+                bins, offsets = pack_sizes(sizes[a:b].astype(np.int64), capacity)
+                own = [rows.column(n).slice(a, b - a).combine_chunks() for n in names]
+                place = [pa.array(bins + (int(groups[a]) << 36)), pa.array(offsets)]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*own, *place], target, strict=True)], schema=target)
 
     group = F.pmod(F.xxhash64(*key_cols), F.lit(groups)).cast("int")
-    return items.withColumn("__group", group).repartition(groups, "__group").mapInPandas(run, schema)
+    return items.withColumn("__group", group).repartition(groups, "__group").mapInArrow(run, schema)
 
 
 def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Cut and pack all rows of ``docs (doc_id, text)``.
+    """Cut and pack all rows of ``docs``; ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for each piece.
 
-    Null and empty texts are one piece holding id 0.  Repeated rows are packed once each.  Only documents of over
-    ``capacity`` ids are cut.
+    Null and empty texts are one piece holding id 0.  Repeated rows are packed once each, null ids stay null, other
+    columns are not read, an empty table gives no rows.  Only documents of over ``capacity`` ids are cut; a text is
+    encoded whole, in memory that follows its length.
     """
     groups = max(1, -(-docs.count() // group))
     return pack(pieces(docs, path, capacity), groups, capacity)
