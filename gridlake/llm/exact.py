@@ -17,21 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from gridlake.llm.shared import cut, give_back, plain, within
+from gridlake.llm.shared import FILE, ROW, addressed, cut, give_back, hot_keys, left_join, plain, without
 
-#: Bytes of text that one trie holds.
-BUDGET = 64 << 20
+#: Bytes that one trie holds, and what a node takes besides its edge (measured: lists, dictionary, owner).
+BUDGET, NODE = 64 << 20, 250
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
-Owner = tuple[int | None, int, int]  # largest id, rows, rows with that id
+Owner = tuple  # largest id, rows, rows with that id; and perhaps the address of the first of these
 
 
 def merge_owners(a: Owner, b: Owner) -> Owner:
     """Nulls rank below every id."""
     if a[0] == b[0]:
-        return a[0], a[1] + b[1], a[2] + b[2]
+        return a[0], a[1] + b[1], a[2] + b[2], *min(a[3:], b[3:])
     top = b if a[0] is None or (b[0] is not None and b[0] > a[0]) else a
-    return top[0], a[1] + b[1], top[2]
+    return top[0], a[1] + b[1], *top[2:]
 
 
 class RadixTrie:
@@ -47,7 +47,7 @@ class RadixTrie:
             child = node[1].get(key[at])
             if child is None:
                 node[1][key[at]] = [key[at:], {}, owner]
-                self.bytes += n - at + 100
+                self.bytes += n - at + NODE
                 return
             edge = child[0]
             if key.startswith(edge, at):
@@ -59,7 +59,7 @@ class RadixTrie:
                 low, high = (mid, high) if key.startswith(edge[:mid], at) else (low, mid - 1)
             lower = [edge[low:], child[1], child[2]]
             child[0], child[1], child[2] = edge[:low], {edge[low]: lower}, None
-            self.bytes += 100
+            self.bytes += NODE
             node, at = child, at + low
         node[2] = owner if node[2] is None else merge_owners(node[2], owner)
 
@@ -84,7 +84,7 @@ class RadixTrie:
             total, stack = 0, [node]
             while stack:
                 x = stack.pop()
-                total += len(x[0]) + 100
+                total += len(x[0]) + NODE
                 stack.extend(x[1].values())
             return total
 
@@ -96,8 +96,8 @@ class RadixTrie:
         yield from self.terminals(node)
 
 
-_PARTIAL = "n_bytes long, h long, body binary, keep_id long, n long, ties long"
-_OWNERS = "text_sha256 string, keep_id long, group_size long, ties long"
+_PARTIAL = f"n_bytes long, h long, body binary, keep_id long, n long, ties long, {FILE} long, {ROW} long"
+_OWNERS = f"text_sha256 string, keep_id long, group_size long, ties long, {FILE} long, {ROW} long"
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,9 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, limit: int = 8 << 20) ->
 
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = True, budget: int = BUDGET) -> DataFrame:
-    """``text_sha256, keep_id, group_size, ties`` for each distinct text; ties counts the rows that carry keep_id."""
+    """``text_sha256, keep_id, group_size, ties`` for each distinct text, and the address of the row that stays; ties
+    counts the rows that carry keep_id, of which the one with the least address stays."""
+    docs = addressed(docs)
     partial, final = StructType.fromDDL(_PARTIAL), StructType.fromDDL(_OWNERS)
     partial_arrow, final_arrow = to_arrow_schema(partial), to_arrow_schema(final)
 
@@ -125,9 +127,9 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                 yield len(body), xxhash.xxh3_64_intdigest(body) - (1 << 63), body, *owner
 
         for batch in batches:
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, body, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 body = body or b""
-                trie.insert(body.translate(FOLD) if fold else body, (doc_id, 1, 1))
+                trie.insert(body.translate(FOLD) if fold else body, (doc_id, 1, 1, *place))
                 while trie.bytes > budget:
                     yield from _batches(shaped(trie.spill()), partial_arrow)
         yield from _batches(shaped(trie.drain()), partial_arrow)
@@ -149,7 +151,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         yield from _batches(shaped(trie.drain()), final_arrow)
         give_back()
 
-    first = docs.select(plain(id_col).cast("long"), plain(text_col).cast("binary")).mapInArrow(read, partial)
+    first = docs.select(plain(id_col).cast("long"), plain(text_col).cast("binary"), FILE, ROW).mapInArrow(read, partial)
     return first.repartition("n_bytes", "h").sortWithinPartitions("n_bytes", "h").mapInArrow(settle, final)
 
 
@@ -159,34 +161,32 @@ def digest(text_col: str = "text", fold: bool = True):
     return F.sha2((F.translate(text, _UPPER, _LOWER) if fold else text).cast("binary"), 256)
 
 
-def _repeated(docs: DataFrame, id_col: str, text_col: str, fold: bool) -> tuple[DataFrame, bool]:
-    found = cut(owners(docs, id_col, text_col, fold).where("group_size > 1"), "owners")
-    return found, within(found)
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = True) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row.
 
     The largest id of equal texts is kept; rows that repeat this id are all marked kept (``drop_copies`` leaves one).
-    Null ids rank lowest; null text equals empty text; an empty table gives no rows.  Only digests are joined: the
-    repeated texts' owners are broadcast when a count bounds them, else shuffled, where skewed digests are split.
+    Null ids rank lowest; null text equals empty text; an empty table gives no rows; other columns are not read.  Only
+    digests are joined, those of hot texts in several tasks.  Texts pass whole through tries, one of which may exceed
+    its budget by one text.
     """
-    found, small = _repeated(docs, id_col, text_col, fold)
-    rows = docs.select(plain(id_col).alias("doc_id"), digest(text_col, fold).alias("text_sha256"))
-    joined = rows.join(F.broadcast(found) if small else found, "text_sha256", "left")
+    docs = addressed(docs)
+    found = cut(owners(docs, id_col, text_col, fold).where("group_size > 1").drop(FILE, ROW), "owners")
+    rows = docs.select(plain(id_col).alias("doc_id"), digest(text_col, fold).alias("text_sha256"), ROW)
+    joined = left_join(rows, found, "text_sha256", hot_keys(found, "text_sha256", "group_size", docs.count()), F.col(ROW))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = True) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged: one for each distinct text."""
-    found, small = _repeated(docs, id_col, text_col, fold)
-    side = found.select(F.col("text_sha256").alias("__gl_sha"), F.col("keep_id").alias("__gl_keep"), F.col("ties").alias("__gl_ties"))
-    joined = docs.withColumn("__gl_sha", digest(text_col, fold)).join(F.broadcast(side) if small else side, "__gl_sha", "left")
-    stays = joined.where(F.col("__gl_ties").isNull() | F.col("__gl_keep").eqNullSafe(plain(id_col)))
-    single = stays.where(F.coalesce("__gl_ties", F.lit(1)) == 1)
-    repeated = stays.where(F.coalesce("__gl_ties", F.lit(1)) > 1).dropDuplicates(["__gl_sha"])
-    columns = [plain(c) for c in docs.columns]
-    if found.where("ties > 1").isEmpty():
-        return single.select(*columns)
-    return single.select(*columns).unionByName(repeated.select(*columns))
+    """The rows of ``docs`` that stay, all columns unchanged: one for each distinct text.
+
+    That is the row with the largest id, nulls lowest, and of rows that repeat it one.  Null text equals empty text;
+    an empty table gives no rows.  The texts go through tries once, and are not moved again: see ``shared``.
+    """
+    docs = addressed(docs)
+    total = docs.count()
+    found = owners(docs, id_col, text_col, fold).where("group_size > 1")
+    found = cut(found.select("text_sha256", "group_size", F.struct(FILE, ROW).alias("keeper")), "owners")
+    rows = docs.select(digest(text_col, fold).alias("text_sha256"), FILE, ROW)
+    joined = left_join(rows, found, "text_sha256", hot_keys(found, "text_sha256", "group_size", total), F.col(ROW))
+    return without(docs, joined.where(F.col("keeper") != F.struct(FILE, ROW)), total, "copies")

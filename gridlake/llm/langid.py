@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from gridlake.llm.shared import cut, map_batches, plain, texts_of, within
+from gridlake.llm.shared import FILE, HOT_SHARE, ROW, addressed, cut, left_join, map_batches, plain, texts_of, without
 
 BUCKETS = 1 << 15
 #: Rows of each language that the text model is fitted on: all up to this number, else about so many, by hash.
@@ -171,14 +171,15 @@ def host_priors(hosts: DataFrame, declared: dict[str, int]) -> DataFrame:
     return counted("host", "domain", "suffix").join(domains, "domain").join(suffixes, "suffix").select("host", "counts", "domain_p", "suffix_logp")
 
 
-def language_id(docs: DataFrame, key: Column, text: Column, declared: Column, host: Column, sample: int = SAMPLE) -> DataFrame:
-    """``key, text_hash, lang, posterior, declared, text_gain, accepted`` for every row.
+def language_id(docs: DataFrame, key: Column, text: Column, declared: Column, host: Column, sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key, *carry, lang, posterior, declared, text_gain, accepted`` for every row of ``docs``.
 
-    Texts pass through Python once; only one small row of log-likelihoods per document meets the host priors, which
-    are broadcast when a count bounds them and joined by salted hosts otherwise.  Null text is empty: no letters,
-    ``und``, rejected.  Null declaration or host: that evidence says nothing.  An empty table gives no rows.
+    Texts pass through Python once, whole; only one small row of log-likelihoods per document meets the host priors,
+    rows of hot hosts in several tasks.  Null text is empty: no letters, ``und``, rejected.  Null declaration or host:
+    that evidence says nothing.  Repeated rows are judged alike and count once each in the priors.  Other columns are
+    not read; an empty table gives no rows.
     """
-    rows = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text"), declared.alias("declared"), host_of(host).alias("host"))
+    rows = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text"), declared.alias("declared"), host_of(host).alias("host"), *carry)
     hosts = cut(host_counts(rows), "hosts")
     stated = {r["declared"]: r["n"] for r in hosts.where(F.col("declared").isNotNull()).groupBy("declared").agg(F.sum("n").alias("n")).collect()}
     model = fit_text(rows, stated, sample)
@@ -190,21 +191,23 @@ def language_id(docs: DataFrame, key: Column, text: Column, declared: Column, ho
 
         def step(batch):
             got = [own.log_likelihoods(t) for t in texts_of(batch)]
-            return {"key": batch.column(0), "declared": batch.column(2), "host": batch.column(3), "text_hash": batch.column(4), "ll": [g[0].tolist() for g in got], "trigrams": [g[1] for g in got], "text_gain": [g[2] for g in got]}
+            return {
+                "key": batch.column(0), "declared": batch.column(2), "host": batch.column(3), "spread": batch.column(4),
+                **{c: batch.column(5 + i) for i, c in enumerate(carry)},
+                "ll": [g[0].tolist() for g in got], "trigrams": [g[1] for g in got], "text_gain": [g[2] for g in got],
+            }
 
         return step
 
-    kind = rows.schema["key"].dataType.simpleString()
-    scored = map_batches(rows, ["key", "text", "declared", "host", F.xxhash64("text")], f"key {kind}, declared string, host string, text_hash long, ll array<double>, trigrams long, text_gain double", make)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    more = "".join(f"{c} {kinds[c]}, " for c in carry)
+    scored = map_batches(rows, ["key", "text", "declared", "host", F.xxhash64("key", "text"), *carry], f"key {kinds['key']}, declared string, host string, spread long, {more}ll array<double>, trigrams long, text_gain double", make)
     if not languages:
-        return scored.select("key", "text_hash", F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), "declared", "text_gain", F.lit(False).alias("accepted"))
-    priors = cut(host_priors(hosts, stated), "priors")
-    if within(priors):
-        joined = scored.join(F.broadcast(priors), "host", "left")
-    else:
-        salts = 32
-        salted = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = scored.withColumn("salt", F.pmod("text_hash", F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+        return scored.select("key", *carry, F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), "declared", "text_gain", F.lit(False).alias("accepted"))
+    total = hosts.agg(F.sum("n")).first()[0]
+    sizes = hosts.groupBy("host").agg(F.sum("n").alias("n"))
+    hot = [r["host"] for r in sizes.where(F.col("n") > max(1, total // HOT_SHARE)).collect()]
+    joined = left_join(scored, cut(host_priors(hosts, stated), "priors"), "host", hot, F.col("spread"))
     size = len(languages)
     names = F.array(*[F.lit(x) for x in languages])
     right, wrong = float(np.log(TRUST)), float(np.log((1 - TRUST) / max(1, size - 1)))
@@ -217,17 +220,17 @@ def language_id(docs: DataFrame, key: Column, text: Column, declared: Column, ho
         says = F.coalesce(F.when(same, F.lit(right)).otherwise(F.when(F.col("declared").isNotNull(), F.lit(wrong))), F.lit(0.0))
         return F.lit(TEMPER) * F.get("ll", i) + says + F.coalesce(F.get("suffix_logp", i), F.lit(0.0)) + prior
 
-    logs = joined.select("key", "text_hash", "declared", "trigrams", "text_gain", F.transform(names, fused).alias("logs"))
+    logs = joined.select("key", *carry, "declared", "trigrams", "text_gain", F.transform(names, fused).alias("logs"))
     logs = logs.withColumn("top", F.array_max("logs"))
     best = F.element_at(names, F.array_position("logs", F.col("top")).cast("int"))
     posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     read = (F.col("trigrams") > 0) & ((F.col("text_gain") > 0) | (F.col("trigrams") < ENOUGH))
-    return logs.select("key", "text_hash", F.when(read, best).otherwise("und").alias("lang"), posterior.alias("posterior"), "declared", "text_gain", (read & (posterior >= ACCEPT)).alias("accepted"))
+    return logs.select("key", *carry, F.when(read, best).otherwise("und").alias("lang"), posterior.alias("posterior"), "declared", "text_gain", (read & (posterior >= ACCEPT)).alias("accepted"))
 
 
-def identify_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify_documents(docs: DataFrame, sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
     """The documents table: ``lang`` is what the source declares, ``source`` the host."""
-    return language_id(docs, plain("doc_id"), plain("text"), F.lower(plain("lang")), plain("source"), sample)
+    return language_id(docs, plain("doc_id"), plain("text"), F.lower(plain("lang")), plain("source"), sample, carry)
 
 
 def identify_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -236,11 +239,7 @@ def identify_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of documents whose language is accepted, all columns unchanged.
-
-    The rejected rows' ids and text hashes (few, as a rule) are broadcast if a count bounds them, else shuffled.
-    """
-    rejected = cut(identify_documents(docs, sample).where(~F.col("accepted")).select(F.col("key").alias("__gl_id"), F.col("text_hash").alias("__gl_hash")).distinct(), "rejected")
-    side = F.broadcast(rejected) if within(rejected) else rejected
-    same = plain("doc_id").eqNullSafe(side["__gl_id"]) & (F.xxhash64(F.coalesce(plain("text"), F.lit(""))) == side["__gl_hash"])
-    return docs.join(side, same, "left_anti")
+    """The rows of documents whose language is accepted, all columns unchanged; texts are not shuffled: see ``shared``."""
+    docs = addressed(docs)
+    rejected = identify_documents(docs, sample, (FILE, ROW)).where(~F.col("accepted"))
+    return without(docs, rejected, docs.count(), "rejected")

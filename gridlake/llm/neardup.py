@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import cut, drop_folder, map_batches, plain, texts_of, within
+from gridlake.llm.shared import FILE, ROW, addressed, cut, drop_folder, hot_keys, left_join, map_batches, plain, texts_of, without
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands x rows coordinates: a pair at 0.8 shares no band with probability 3e-6.
@@ -31,6 +31,8 @@ BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 #: Most differing bits of the two 160-bit sketches: at 0.8, 16 are expected with deviation 3.8.
 HAMMING = 38
+#: Members of a band beside its main component that one task compares with the rest of the band.
+SPLIT = 512
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _C1, _C2, _C3 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -175,7 +177,7 @@ def odd_sketch(units: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_SKETCH = "doc_id long, text_hash long, node long, first boolean, n int, s0 long, s1 long, s2 long, odd array<long>, bands array<long>, units array<int>"
+_SKETCH = f"doc_id long, {FILE} long, {ROW} long, node long, first boolean, n int, s0 long, s1 long, s2 long, odd array<long>, bands array<long>, units array<int>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -201,12 +203,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                     row = (node, True, len(small), *sketch_bits(signature).tolist(), odd_sketch(small), bands_of(signature), small.view(np.int32))
                 for name, value in zip(out, row, strict=True):
                     out[name].append(value)
-            return {"doc_id": batch.column(0), "text_hash": batch.column(2)} | out
+            return {"doc_id": batch.column(0), FILE: batch.column(2), ROW: batch.column(3)} | out
 
         return step
 
-    columns = [plain("doc_id").cast("long").alias("doc_id"), plain("text").alias("text"), F.xxhash64(F.coalesce(plain("text"), F.lit(""))).alias("text_hash")]
-    return map_batches(docs, columns, _SKETCH, make)
+    return map_batches(docs, [plain("doc_id").cast("long").alias("doc_id"), plain("text").alias("text"), FILE, ROW], _SKETCH, make)
 
 
 def _near(a: str, b: str):
@@ -283,8 +284,12 @@ def links(sketched: DataFrame) -> DataFrame:
     spread = labelled.groupBy("band", "label").agg(F.count("*").alias("n_label"))
     mixed = spread.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n_label", "label")).alias("main")).where("labels > 1").select("band", "main")
     rest = cut(labelled.join(mixed, "band").join(facts, "node"), "mixed")
-    x, y = rest.where("label <> main").alias("x"), rest.alias("y")
-    crossing = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y"))
+    # a band's members outside its main component are split, so that no task compares more than so many with the band
+    apart = rest.where("label <> main")
+    parts = apart.groupBy("band").agg(F.ceil(F.count("*") / F.lit(SPLIT)).cast("int").alias("parts"))
+    x = apart.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
+    y = rest.join(parts, "band").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    crossing = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y"))
     crossing = crossing.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     crossing = cut(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
     stars = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
@@ -294,46 +299,38 @@ def links(sketched: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, node, class_id, class_size, kept`` for every row.
+    """``doc_id, FILE, ROW, node, class_id, class_size, kept`` for every row.
 
-    ``class_id`` is the least doc_id of the class, which is kept (nulls rank lowest among ids of a class only if all
-    are null).  Documents with the same words are one class; those without words are a class each.  Null text is
+    ``class_id`` is the least doc_id of the class, nulls last; the row that has it is kept, of several the one with the
+    least address.  Documents with the same words are one class; those without words are a class each.  Null text is
     empty; an empty table gives no rows.
     """
+    docs = addressed(docs)
     sketched = cut(sketches(docs), "sketches")
     found = links(sketched)
     labels = components(found)
-    nodes = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    nodes = cut(nodes.join(labels, "node", "left").select("node", "least", "rows", F.coalesce("label", "node").alias("label")), "nodes")
-    groups = nodes.groupBy("label").agg(F.min("least").alias("class_id"), F.min_by("node", F.struct("least", "node")).alias("keeper"), F.sum("rows").alias("class_size")).where("class_size > 1")
-    known = nodes.join(groups, "label").select("node", "class_id", "keeper", "class_size")
-    rows = sketched.select("doc_id", "text_hash", "node").join(known, "node", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", FILE, ROW)).alias("first")
+    nodes = sketched.where("node is not null").groupBy("node").agg(first, F.count("*").alias("rows"))
+    nodes = cut(nodes.join(labels, "node", "left").select("node", "first", "rows", F.coalesce("label", "node").alias("label")), "nodes")
+    groups = nodes.groupBy("label").agg(F.min("first").alias("keeper"), F.sum("rows").alias("class_size")).where("class_size > 1")
+    known = nodes.join(groups, "label").select("node", "keeper", "class_size")
+    rows = sketched.select("doc_id", FILE, ROW, "node")
+    rows = left_join(rows, known, "node", hot_keys(nodes, "node", "rows", docs.count()), F.col(ROW))
     alone = F.col("class_size").isNull()
-    kept = alone | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("keeper")))
-    return rows.select("doc_id", "text_hash", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), kept.alias("kept"))
+    kept = alone | ((F.col(FILE) == F.col("keeper")[FILE]) & (F.col(ROW) == F.col("keeper")[ROW]))
+    return rows.select("doc_id", FILE, ROW, "node", F.when(alone, F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), kept.alias("kept"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per document with its class."""
+    """``doc_id, class_id, class_size, kept`` for every row; see ``classes``.
+
+    Repeated rows are members like others; other columns are not read.  A text is shingled whole, in memory that
+    follows its length.
+    """
     return classes(docs).select("doc_id", "class_id", "class_size", "kept")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The rows of documents that stay: one of each class, all columns unchanged."""
-    found = cut(classes(docs), "classes")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gl_id"), F.col("text_hash").alias("__gl_hash"))
-    left = found.where(F.col("kept") & F.col("node").isNotNull()).groupBy("doc_id", "node").agg(F.count("*").alias("n"), F.min("text_hash").alias("h"), F.max("text_hash").alias("top")).where("n > 1")
-    key = F.xxhash64(F.coalesce(plain("text"), F.lit("")))
-    gone = gone.distinct()
-    side = F.broadcast(gone) if within(gone) else gone
-    stays = docs.join(side, plain("doc_id").eqNullSafe(side["__gl_id"]) & (key == side["__gl_hash"]), "left_anti")
-    if left.isEmpty():
-        return stays
-    # rows that repeat the kept id with the same words: one of them stays
-    twice = left.select(F.col("doc_id").alias("__gl_id"))
-    again = F.broadcast(twice) if within(twice) else twice
-    sole = stays.join(again, plain("doc_id").eqNullSafe(again["__gl_id"]), "left_anti")
-    other = stays.join(again, plain("doc_id").eqNullSafe(again["__gl_id"]), "left_semi")
-    words = F.concat_ws(" ", F.regexp_extract_all(F.lower(F.coalesce(plain("text"), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    other = other.withColumn("__gl_words", F.sha2(words, 256)).dropDuplicates(["doc_id", "__gl_words"])
-    return sole.unionByName(other.select(*[plain(c) for c in docs.columns]))
+    """The rows that stay: one of each class, all columns unchanged.  Texts are not shuffled: see ``shared``."""
+    docs = addressed(docs)
+    return without(docs, classes(docs).where(~F.col("kept")), docs.count(), "near")

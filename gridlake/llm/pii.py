@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import cut, map_batches, plain, texts_of, within
+from gridlake.llm.shared import FILE, ROW, SideReader, addressed, cut, map_batches, plain, put_side, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -117,17 +117,14 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[s
 
 
 _SCAN = (
-    "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
+    f"doc_id long, {FILE} long, {ROW} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
     "near array<struct<entity:string,term:string,mark:long>>, words array<struct<term:string,starts:array<int>,stops:array<int>>>"
 )
 
 
-def text_key() -> Column:
-    return F.xxhash64(F.coalesce(plain("text"), F.lit("")))
-
-
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: counts and spans of the base kinds, the terms around them, and the places of all words if there are spans."""
+    """One row per document of an addressed table: counts and spans of the base kinds, the terms around them, and the
+    places of all words if there are spans."""
 
     def make():
         def step(batch):
@@ -141,11 +138,11 @@ def scan(docs: DataFrame) -> DataFrame:
                 row = (*(kinds.count(k) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, near, words)
                 for name, value in zip(out, row, strict=True):
                     out[name].append(value)
-            return {"doc_id": batch.column(0), "text_hash": batch.column(2)} | out
+            return {"doc_id": batch.column(0), FILE: batch.column(2), ROW: batch.column(3)} | out
 
         return step
 
-    return map_batches(docs, [plain("doc_id").cast("long").alias("doc_id"), plain("text").alias("text"), text_key()], _SCAN, make)
+    return map_batches(docs, [plain("doc_id").cast("long").alias("doc_id"), plain("text").alias("text"), FILE, ROW], _SCAN, make)
 
 
 def words_of(text: Column) -> Column:
@@ -178,33 +175,32 @@ def disclosures(docs: DataFrame, scanned: DataFrame, partial: float = PARTIAL) -
 
 
 def term_spans(docs: DataFrame, scanned: DataFrame, partial: float = PARTIAL, full: float = FULL) -> DataFrame:
-    """``doc_id, text_hash, added array<struct<kind,start,stop>>`` for the documents that hold an entity and a term that
+    """``FILE, ROW, added array<struct<kind,start,stop>>`` for the documents that hold an entity and a term that
     discloses it: every place of the term, near the entity or not.
 
     A document's words meet the terms found, then its entities; no row holds both lists.
     """
     found = cut(disclosures(docs, scanned, partial), "disclosures")
     rows = scanned.where(F.size("near") > 0)
-    words = rows.select("doc_id", "text_hash", F.explode("words").alias("x")).select("doc_id", "text_hash", "x.term", "x.starts", "x.stops")
-    held = rows.select(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash"), F.explode(F.array_distinct(F.col("near.entity"))).alias("h_entity")).distinct()
-    hit = words.join(F.broadcast(found) if within(found) else found, "term")
-    hit = hit.join(held, hit["doc_id"].eqNullSafe(held["h_id"]) & (hit["text_hash"] == held["h_hash"]) & (hit["entity"] == held["h_entity"]), "left_semi")
-    top = hit.groupBy("doc_id", "text_hash", "term").agg(F.max("disclosure").alias("d"), F.first("starts").alias("starts"), F.first("stops").alias("stops"))
+    words = rows.select(FILE, ROW, F.explode("words").alias("x")).select(FILE, ROW, "x.term", "x.starts", "x.stops")
+    held = rows.select(FILE, ROW, F.explode(F.array_distinct(F.col("near.entity"))).alias("entity"))
+    # merged at every size: whether a side happens to fit a broadcast must not change what is shuffled
+    hit = words.join(found.hint("merge"), "term").join(held.hint("merge"), [FILE, ROW, "entity"], "left_semi")
+    top = hit.groupBy(FILE, ROW, "term").agg(F.max("disclosure").alias("d"), F.first("starts").alias("starts"), F.first("stops").alias("stops"))
     kind = F.when(F.col("d") >= full, F.lit("term_removed")).otherwise(F.lit("term_generalised"))
-    places = top.select("doc_id", "text_hash", kind.alias("kind"), F.explode(F.arrays_zip("starts", "stops")).alias("x"))
-    return places.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("kind", F.col("x.starts").alias("start"), F.col("x.stops").alias("stop")))).alias("added"))
+    places = top.select(FILE, ROW, kind.alias("kind"), F.explode(F.arrays_zip("starts", "stops")).alias("x"))
+    return places.groupBy(FILE, ROW).agg(F.array_sort(F.collect_list(F.struct("kind", F.col("x.starts").alias("start"), F.col("x.stops").alias("stop")))).alias("added"))
 
 
 def find_pii(docs: DataFrame, partial: float = PARTIAL, full: float = FULL) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
 
-    Null and empty texts have no spans.  Rows that repeat id and text get the same spans.  No text is shuffled:
-    each is read once for its spans and once for the corpus counts of terms.
+    Null and empty texts have no spans.  Repeated rows get the same spans; other columns are not read; an empty table
+    gives no rows.  No text is shuffled: each is read once for its spans, whole, and once for the corpus counts of terms.
     """
+    docs = addressed(docs)
     scanned = cut(scan(docs), "scan")
-    added = term_spans(docs, scanned, partial, full)
-    right = added.withColumnRenamed("doc_id", "a_id").withColumnRenamed("text_hash", "a_hash")
-    both = scanned.join(right, scanned["doc_id"].eqNullSafe(right["a_id"]) & (scanned["text_hash"] == right["a_hash"]), "left")
+    both = scanned.join(term_spans(docs, scanned, partial, full).hint("merge"), [FILE, ROW], "left")
     more = F.transform("added", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string")))
     spans = F.concat_ws(",", F.array_compact(F.concat(F.array(F.when(F.col("base") != "", F.col("base"))), F.coalesce(more, F.array().cast("array<string>")))))
     return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
@@ -213,17 +209,22 @@ def find_pii(docs: DataFrame, partial: float = PARTIAL, full: float = FULL) -> D
 def rewrite(text: str, spans: list[tuple[str, int, int]]) -> str:
     """Mask base spans by their kind, generalise terms, take out removed ones.
 
-    What overlaps a base span is masked with it, up to the end of their union, by the kind of the first.  Terms are
-    found outside base spans; of spans that overlap a term before them the first stays.
+    Spans that overlap are one span, up to the end of their union: a base kind's (the first's) if there is one in it.
     """
-    out, at, base = [], 0, False
+    unions: list[list] = []
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
-        if a < at:
-            at = max(at, b) if base else at
-            continue
+        if unions and a < unions[-1][2]:
+            last = unions[-1]
+            last[2] = max(last[2], b)
+            if last[0] not in KINDS and kind in KINDS:
+                last[0] = kind
+        else:
+            unions.append([kind, a, b])
+    out, at = [], 0
+    for kind, a, b in unions:
         out.append(text[at:a])
         out.append("" if kind == "term_removed" else "[TERM]" if kind == "term_generalised" else f"[{kind.upper()}]")
-        at, base = b, kind in KINDS
+        at = b
     return "".join(out) + text[at:]
 
 
@@ -239,28 +240,24 @@ def cleaned(text: str, added: list[tuple[str, int, int]]) -> str:
 def sanitise(docs: DataFrame, partial: float = PARTIAL, full: float = FULL) -> DataFrame:
     """The rows of documents with all spans rewritten; ``n_chars`` follows the text, other columns are unchanged.
 
-    Null text stays null.  Only documents with disclosing terms meet a table of spans: it is broadcast if a count
-    bounds it, else joined by id and text hash.
+    Null text stays null, empty text empty; repeated rows are rewritten alike; an empty table gives no rows.  Texts are
+    not shuffled: the one pass that rewrites them reads the added spans of the rows that it is at; see ``shared``.
     """
+    docs = addressed(docs)
     scanned = cut(scan(docs), "scan")
-    added = cut(term_spans(docs, scanned, partial, full), "added")
-    keyed = docs.select(F.struct(*[plain(c) for c in docs.columns]).alias("__gl_row"), plain("doc_id").cast("long").alias("__gl_id"), text_key().alias("__gl_hash"))
-    if added.isEmpty():
-        rows = keyed.withColumn("added", F.lit(None).cast("array<struct<kind:string,start:int,stop:int>>"))
-    else:
-        side = F.broadcast(added) if within(added) else added
-        rows = keyed.join(side, keyed["__gl_id"].eqNullSafe(side["doc_id"]) & (keyed["__gl_hash"] == side["text_hash"]), "left")
-    names = docs.columns
-    kind = docs.select(*[plain(c) for c in names]).schema
+    side = put_side(term_spans(docs, scanned, partial, full).withColumnRenamed("added", "value"), docs.count(), "added")
+    names = [c for c in docs.columns if c not in (FILE, ROW)]
+    fields = [docs.schema[c] for c in names]
+    at, chars, last = names.index("text"), names.index("n_chars") if "n_chars" in names else None, len(names)
 
     def make():
-        at = names.index("text")
-        chars = names.index("n_chars") if "n_chars" in names else None
+        reader = SideReader(side, values=True)
 
         def step(batch):
-            columns = [batch.column(i) for i in range(len(names))]
+            columns = [batch.column(i) for i in range(last)]
+            place = [batch.column(last + i).to_numpy() for i in range(3)]
             out = []
-            for text, extra in zip(columns[at].to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            for text, extra in zip(columns[at].to_pylist(), reader.find(*place)[1], strict=True):
                 if text is not None:
                     text = cleaned(text, [(x["kind"], x["start"], x["stop"]) for x in extra or ()])
                 out.append(text)
@@ -272,7 +269,6 @@ def sanitise(docs: DataFrame, partial: float = PARTIAL, full: float = FULL) -> D
 
         return step
 
-    flat = [F.col("__gl_row")[c].alias(f"c{i}") for i, c in enumerate(names)]
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kind))
-    done = map_batches(rows, [*flat, "added"], schema, make)
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
+    done = map_batches(docs, [*[plain(c).alias(f"c{i}") for i, c in enumerate(names)], side.part(), FILE, ROW], schema, make)
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -18,13 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from gridlake.llm.shared import cut, new_folder, within
+from gridlake.llm.shared import FILE, ROW, SideReader, addressed, cut, hot_keys, left_join, new_folder, open_store, put_side
 
 #: Compressed bytes after which a task begins another archive.
 ROLL = 16 << 20
@@ -32,15 +31,6 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def open_store(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and inner path of a URI; Hadoop's names for S3 are those of Arrow's S3 too."""
-    for old in ("s3a://", "s3n://"):
-        path = path.replace(old, "s3://", 1) if path.startswith(old) else path
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[5:]
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 # -- ZIP ---------------------------------------------------------------------------------------------------------
 
 
@@ -189,34 +179,39 @@ def gzip_member(data: bytes) -> bytes:
 # -- Spark -------------------------------------------------------------------------------------------------------
 
 
-def responders(pages: DataFrame) -> DataFrame:
-    """``sha, refers_to`` for each payload that several pages share: the largest page_id holds it."""
-    keyed = pages.select(payload_key(pages).alias("sha"), F.col("page_id").cast("long").alias("page_id"))
-    return keyed.groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1").select("sha", "refers_to")
-
-
 def payload_key(pages: DataFrame):
     return F.sha2(F.coalesce(pages["html"], F.lit("")).cast("binary"), 256)
 
 
+def revisits(pages: DataFrame, total: int) -> DataFrame:
+    """``FILE, ROW, value`` of the addressed pages that revisit another: the largest page_id holds a payload that
+    several share.  Digests alone are grouped and joined, those of hot payloads in several tasks."""
+    keyed = pages.select(payload_key(pages).alias("sha"), F.col("page_id").cast("long").alias("page_id"), FILE, ROW)
+    shared = keyed.groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("value")).where("n > 1")
+    shared = cut(shared, "responders")
+    joined = left_join(keyed, shared, "sha", hot_keys(shared, "sha", "n", total), F.col(ROW))
+    return joined.where(F.col("value").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("value"))).select(FILE, ROW, "value")
+
+
 def write_archives(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
     """Write a record for each row of ``pages (page_id, url, html)``; returns the manifest ``path, records, bytes``.
 
     A task names its files by a random id and only files in the manifest count, so lost or repeated tasks leave
-    nothing that is read.  The payloads' holders are found on digests; pages themselves are not shuffled unless the
-    table of shared payloads is too large to broadcast.
+    nothing that is read.  The payloads' holders are found on digests and put in side files, which the one pass over
+    the pages reads: pages are never shuffled.  A null URL is written as ``about:blank``.  A record is made whole in
+    memory, an archive of ``roll`` compressed bytes or one record more.
     """
-    shared = cut(responders(pages), "responders")
-    side = F.broadcast(shared) if within(shared) else shared
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("body"), payload_key(pages).alias("sha")).join(side, "sha", "left")
-    rows = rows.select("page_id", "url", "body", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")).alias("refers_to"))
+    pages = addressed(pages)
+    total = pages.count()
+    side = put_side(revisits(pages, total), total, "revisits")
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary"), side.part(), FILE, ROW)
     kind = StructType.fromDDL("path string, records long, bytes long")
     target = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
-        held, index = bytearray(), []
+        held, index, reader = bytearray(), [], SideReader(side, values=True)
 
         def flush() -> pa.RecordBatch:
             nonlocal held, index
@@ -228,7 +223,8 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame
             return got
 
         for batch in batches:
-            for page_id, url, body, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            refers = reader.find(*(batch.column(i).to_numpy() for i in (3, 4, 5)))[1]
+            for page_id, url, body, refers_to in zip(*(batch.column(i).to_pylist() for i in range(3)), refers, strict=True):
                 packed = gzip_member(record(page_id, url, body, refers_to))
                 index.append(json.dumps({"page": page_id, "offset": len(held), "length": len(packed)}))
                 held += packed
@@ -243,7 +239,8 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame
 def read_archives(manifest: DataFrame) -> DataFrame:
     """``page_id, url, record_type, payload_digest, refers_to, payload_bytes, payload`` of every indexed record.
 
-    A revisit's payload is null; its ``payload_bytes`` is what its HTTP head states.  A response whose payload does
+    A revisit's payload is null; its ``payload_bytes`` is what its HTTP head states; a null URL comes back as
+    ``about:blank``.  A response whose payload does
     not match its digest raises ``ValueError``.
     """
     kind = StructType.fromDDL("page_id long, url string, record_type string, payload_digest string, refers_to long, payload_bytes long, payload binary")
@@ -284,7 +281,7 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages to archives in the shared folder, read them back and describe each record.
 
     Null html counts as empty.  Of equal payloads the largest page_id is the response (rows that repeat this id too)
-    and the others revisit it; a null id ranks lowest.  An empty table gives no rows.
+    and the others revisit it; a null id ranks lowest.  Other columns are not read.  An empty table gives no rows.
     """
     manifest = write_archives(pages, new_folder(pages.sparkSession, "warc"))
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

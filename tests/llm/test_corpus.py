@@ -399,7 +399,10 @@ def test_terms_are_taken_out_wherever_they_stand(make_docs):
 def test_rewrite_keeps_the_rest():
     text = "x a@b.cc y 1.2.3.4 z"
     assert pii.rewrite(text, pii.base_spans(text)) == "x [EMAIL] y [IP] z"
-    assert pii.rewrite("abcdef", [("term_removed", 1, 3), ("email", 2, 4)]) == "adef"
+    assert pii.rewrite("abcdef", [("term_removed", 1, 3), ("email", 2, 4)]) == "a[EMAIL]ef"  # no part of the email stays
+    assert pii.rewrite("abcdef", [("email", 1, 3), ("term_removed", 2, 5)]) == "a[EMAIL]f"
+    host = "host 10.0.0.4 0003 2222 3333 444 end"
+    assert pii.rewrite(host, [("ip", 5, 13), ("card", 12, 32)]) == "host [IP] end"
 
 
 def test_overlapping_spans_are_masked_whole(make_docs):
@@ -452,6 +455,6 @@ def test_pipeline(spark, tmp_path):
     assert sorted(single) == sorted(top.values())
     ids = sorted(single)
     assert sorted(near) == sorted({ids[c] for c in brute_classes([single[i] for i in ids])})
-    assert sorted(clean) == sorted(near) and not any(brute_spans(t) for t in clean.values() if "term" not in t)
+    assert sorted(clean) == sorted(near) and not any(brute_spans(t) for t in clean.values())
     packed = P.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == set(clean)
