@@ -99,6 +99,8 @@ def fill_column(value: Any, kind: str) -> Column:
         return F.lit("NaN").cast(kind)
     if kind == "binary":
         return F.unhex(F.lit((value.encode() if isinstance(value, str) else value).hex()))
+    if isinstance(value, int) and not isinstance(value, bool):
+        return F.lit(str(value)).cast(kind)  # by text: a literal holds no more than a signed 64-bit number
     return F.lit(value).cast(kind)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import Any
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,8 @@ MAX_CELLS = 2_000_000_000
 
 
 def grid(spark: SparkSession, domain: dict[str, tuple[int, int]], max_cells: int = MAX_CELLS, kinds: dict[str, str] | None = None) -> DataFrame:
-    """All coordinates of an integer hyper-rectangle, from one range split over the cluster."""
+    """All coordinates of a hyper-rectangle of whole numbers, or dates as days since 1970, from one range split over the
+    cluster."""
     total = 1
     for low, high in domain.values():
         total *= max(0, high - low + 1)
@@ -22,7 +21,8 @@ def grid(spark: SparkSession, domain: dict[str, tuple[int, int]], max_cells: int
     columns = []
     for name, (low, high) in reversed(domain.items()):
         width = max(1, high - low + 1)
-        columns.append((F.pmod(rest, F.lit(width)) + F.lit(low)).cast((kinds or {}).get(name, "bigint")).alias(name))
+        kind, place = (kinds or {}).get(name, "bigint"), F.pmod(rest, F.lit(width)) + F.lit(str(low)).cast("bigint" if abs(low) < 2**62 else "decimal(20,0)")
+        columns.append((F.date_add(F.lit("1970-01-01").cast("date"), place.cast("int")) if kind == "date" else place.cast(kind)).alias(name))
         rest = F.call_function("div", rest, F.lit(width).cast("bigint"))
     return spark.range(total).select(*reversed(columns))
 
@@ -34,7 +34,3 @@ def dense_fill(cells: DataFrame, domain: dict[str, tuple[int, int]], fills: dict
     there = whole.join(cells.withColumn("__there", F.lit(True)), list(domain), "left")
     return there.select(*domain, *[F.when(F.col("__there").isNull(), fills[c]).otherwise(F.col(c)).alias(c) for c in cells.columns if c not in domain])
 
-
-def fill_defaults(rows: DataFrame, defaults: dict[str, Any], columns: list[str]) -> DataFrame:
-    """Columns that the rows lack, at their default."""
-    return rows.select(*[F.col(c) if c in rows.columns else F.lit(defaults[c]).alias(c) for c in columns])

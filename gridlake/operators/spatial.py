@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions import geometry as G
+from gridlake.sources.table import ArrayTable
 
 log = logging.getLogger(__name__)
 
@@ -37,3 +38,19 @@ def spatial_filter(cells: DataFrame, area: bytes, predicate: str = "intersects",
         else:
             cells = mbr_filter(cells, box, 2 * pad_x, 2 * pad_y, x, y)
     return cells.where(G.st_predicate(F.col(column), area, predicate))
+
+
+def find_geometries(table: ArrayTable, area: bytes, predicate: str = "intersects") -> DataFrame:
+    """Cells of a spatial array whose geometry meets a constant one (WKB).
+
+    The array's metadata names the geometry's attribute and the greatest extents of its geometries; the padded box goes
+    into the slice of the two coordinate dimensions, so it prunes fragments and row groups.
+    """
+    about, dims = table.metadata_values(), table.schema.dims
+    column = about.get("GEOMETRY_ATTRIBUTE_NAME", "wkb_geometry")
+    box, pads = mbr(area), (about.get("PAD_X"), about.get("PAD_Y"))
+    if box is None or None in pads:
+        return spatial_filter(table.df(), area, predicate, column=column, prefilter=False)
+    x0, y0, x1, y1 = box
+    cells = table.slice({dims[0]: (x0 - pads[0], x1 + pads[0]), dims[1]: (y0 - pads[1], y1 + pads[1])})
+    return spatial_filter(cells, area, predicate, column=column, prefilter=False)

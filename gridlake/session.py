@@ -17,7 +17,10 @@ class Options:
     """``delete_arrays``: dropping a table removes its data; ``reopen_for_every_query``: False pins the fragments
     seen at open; ``read_layout``: row-major, col-major, unordered or global-order; ``compute_table_records``: count
     from manifests instead of a guess; ``create_allow_subset_existing_array``: creation over an existing array opens
-    it.  Buffer sizes map to Spark's batch and file sizes."""
+    it; ``dimensions_are_keys``: cells can be looked up by key; ``delta_rows``: newer cells over larger fragments up to
+    which a read broadcasts their coordinates instead of merging.  Buffer sizes map to Spark's batch and file sizes.
+
+    A catalogue applies the options that it is given to its session."""
 
     delete_arrays: bool = False
     reopen_for_every_query: bool = True
@@ -29,6 +32,7 @@ class Options:
     create_allow_subset_existing_array: bool = False
     read_batch_rows: int = 4096
     max_records_per_file: int = 0
+    delta_rows: int = 500_000
     log_level: str = "warning"
     config: dict[str, str] = field(default_factory=dict)
 

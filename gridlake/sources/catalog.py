@@ -24,6 +24,8 @@ class ArrayCatalog:
     def __init__(self, spark: SparkSession, root: str, options: Options | None = None):
         self.spark, self.root, self.options = spark, root.rstrip("/"), options or Options()
         self.registered: dict[str, str] = {}
+        if options is not None:
+            options.apply(spark)
 
     def path(self, name: str) -> str:
         return self.registered.get(name) or (name if "/" in name else f"{self.root}/{name}")

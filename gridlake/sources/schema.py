@@ -13,6 +13,8 @@ from gridlake.functions import types as K
 
 ARRAY_TYPES, CELL_ORDERS, TILE_ORDERS = ("SPARSE", "DENSE"), ("ROW_MAJOR", "COLUMN_MAJOR", "HILBERT"), ("ROW_MAJOR", "COLUMN_MAJOR")
 CODECS = {"GZIP": "gzip", "ZSTD": "zstd", "LZ4": "lz4", "BZIP2": "gzip"}
+#: Hadoop's names of the zlib levels 0 to 9.
+ZLIB_LEVELS = ("NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
 FILTERS = {*CODECS, "NONE", "RLE", "BIT_WIDTH_REDUCTION", "POSITIVE_DELTA", "DOUBLE_DELTA", "BITSHUFFLE", "BYTESHUFFLE", "CHECKSUM_MD5", "CHECKSUM_SHA256", "DICTIONARY", "SCALE_FLOAT", "WEBP", "XOR", "DELTA"}
 
 
@@ -61,8 +63,8 @@ class Dimension:
     def check(self, dense: bool) -> None:
         if self.kind in ("binary", "boolean") or self.parsed[0] == "ENUM":
             raise SchemaError(f"{self.name}: {self.type} cannot be a dimension")
-        if dense and self.kind in ("string", "float", "double"):
-            raise SchemaError(f"{self.name}: dense arrays need whole-number or time dimensions")
+        if dense and self.kind not in ("tinyint", "smallint", "int", "bigint", "decimal(20,0)", "date"):
+            raise SchemaError(f"{self.name}: dense arrays need whole-number, date or time-of-day dimensions")
         if self.kind == "string":
             if self.lower is not None or self.upper is not None or self.extent is not None:
                 raise SchemaError(f"{self.name}: string dimensions have no domain")
@@ -173,13 +175,33 @@ class ArraySchema:
             out.add(T.StructField(a.name, kind, a.nullable, {"role": "attribute", "fill": repr(a.fill), "filters": a.filters or "", "labels": list(a.labels or ())}))
         return out
 
-    def codec(self) -> str:
-        """One Parquet codec for the whole array: the first compressing filter that is named."""
+    def codec(self) -> tuple[str, str | None]:
+        """The Parquet codec of the array and its level: the first compressing filter that is named, as a Parquet
+        writer has one codec for all columns."""
         for text in (self.coordinate_filters, *(c.filters for c in (*self.attributes, *self.dimensions)), self.offset_filters):
-            for name, _ in parse_filters(text):
+            for name, level in parse_filters(text):
                 if name in CODECS:
-                    return CODECS[name]
-        return "zstd"
+                    return CODECS[name], level
+        return "zstd", None
+
+    def write_options(self) -> dict[str, str]:
+        """Parquet options from the filters: codec and level for the array, encodings for each column.
+
+        DICTIONARY and RLE keep a column's dictionary (runs of its numbers are run-length coded), NONE and the delta,
+        bit and byte filters leave it out, as what follows them is plain or packed values.  Columns without filters
+        have Parquet's own choice.
+        """
+        name, level = self.codec()
+        out = {"compression": name}
+        if level is not None and name == "zstd" and 1 <= int(level) <= 22:
+            out["parquet.compression.codec.zstd.level"] = level
+        elif level is not None and name == "gzip" and 0 <= int(level) <= 9:
+            out["zlib.compress.level"] = ZLIB_LEVELS[int(level)]
+        for column, text in [*((d.name, d.filters) for d in self.dimensions), *((a.stored, a.filters) for a in self.attributes)]:
+            kinds = {k for k, _ in parse_filters(text)} - set(CODECS)
+            if kinds:
+                out[f"parquet.enable.dictionary#{column}"] = str(bool(kinds & {"DICTIONARY", "RLE"})).lower()
+        return out
 
     def evolve(self, add: list[Attribute] = [], drop: list[str] = []) -> ArraySchema:  # noqa: B006
         """Drop, then add attributes; both may come in one change."""

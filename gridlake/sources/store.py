@@ -6,6 +6,9 @@ from pyspark.sql import SparkSession
 
 
 class Store:
+    #: Documents that never change once written, as this process has read them: the newest ``KEPT``.
+    KEPT, _fixed = 20_000, {}
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.jvm = spark.sparkContext._jvm
@@ -35,6 +38,15 @@ class Store:
         finally:
             stream.close()
 
+    def read_fixed(self, *parts: str) -> str:
+        """A document that is written once under its name."""
+        key = self.at(*parts)
+        if key not in self._fixed:
+            if len(self._fixed) >= self.KEPT:
+                self._fixed.pop(next(iter(self._fixed)))
+            self._fixed[key] = self.read(*parts)
+        return self._fixed[key]
+
     def write(self, text: str, *parts: str) -> None:
         """Write under a hidden name, then rename: readers see the whole document or none."""
         folder, name = self.at(*parts[:-1]), parts[-1]
@@ -48,4 +60,7 @@ class Store:
             raise OSError(f"cannot commit {folder}/{name}")
 
     def delete(self, *parts: str) -> None:
-        self.fs.delete(self._path(self.at(*parts) if parts else self.root), True)
+        where = self.at(*parts) if parts else self.root
+        for key in [k for k in self._fixed if k.startswith(where)]:
+            del self._fixed[key]
+        self.fs.delete(self._path(where), True)

@@ -4,33 +4,42 @@ Layout of an array's folder:
 
 * ``__schema/<version>.json``            schema versions
 * ``__fragments/__frag=<ts>_<id>/...``   Parquet files of one write, with tile folders where they are few
-* ``__commits/<ts>_<id>.json``           manifest of a fragment; a fragment without it is not read
+* ``__commits/<ts>_<id>.json``           manifest of a fragment; a fragment without it is not read, nor one that a
+  manifest names in ``replaces``
+* ``__rollup/<n>.json``                  the first n manifests in one file, so that opening reads few
+* ``__vacuum/<from>_<to>.json``          times between which vacuuming removed history
 * ``__meta/<ts>_<id>.json``              key/value metadata
 """
 
 from __future__ import annotations
 
+import datetime
 import json
 import time
 import uuid
-from functools import reduce
+from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlake.functions import types as K
 from gridlake.functions import values
 from gridlake.operators import dense as D
-from gridlake.operators import merge, ordering, slicing
+from gridlake.operators import lookup, merge, ordering, slicing
 from gridlake.session import Options, ordered
 from gridlake.sources.schema import ArraySchema, Attribute, SchemaError
 from gridlake.sources.store import Store
 
-#: Tiles of the first dimension up to which a write makes a folder for each.
+#: Folders that a write makes at most for the tiles of the first dimension; neighbouring tiles share one beyond that.
 MAX_TILE_FOLDERS = 256
-FRAGMENT, SEQUENCE = "__frag", "__seq"
+#: The fragment that a cell was first written in (of compacted ones: null elsewhere), and its place there.
+FRAGMENT, SEQUENCE, ORIGIN = "__frag", "__seq", "__origin"
+#: Manifests after which another roll-up is written.
+ROLL_UP = 16
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_JSON = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 DEFAULT_RECORDS = 100_000
 
 
@@ -57,7 +66,7 @@ class ArrayTable:
 
     @property
     def schema(self) -> ArraySchema:
-        return ArraySchema.from_json(self.store.read("__schema", self.store.names("__schema")[-1]))
+        return ArraySchema.from_json(self.store.read_fixed("__schema", self.store.names("__schema")[-1]))
 
     def alter(self, add: list[Attribute] = [], drop: list[str] = []) -> None:  # noqa: B006
         """Add and drop attributes; old fragments show null (or the fill, if not nullable) in new ones."""
@@ -70,11 +79,26 @@ class ArrayTable:
     # -- fragments -------------------------------------------------------------------------------------------------
 
     def _commits(self) -> list[dict]:
-        out = []
-        for name in self.store.names("__commits"):
-            if self.open_at is None or int(name.partition("_")[0]) <= self.open_at:
-                out.append(json.loads(self.store.read("__commits", name)))
-        return out
+        """The visible manifests.  They never change, so roll-ups and this process keep what was read once."""
+        names = self.store.names("__commits")
+        rolled = self.store.names("__rollup")
+        known = json.loads(self.store.read_fixed("__rollup", rolled[-1])) if rolled else {}
+        if self.open_at is not None:
+            for low, high in (map(int, n.removesuffix(".json").split("_")) for n in self.store.names("__vacuum")):
+                if low <= self.open_at < high:
+                    raise ValueError(f"vacuuming removed the history from {low} to {high}")
+            names = [n for n in names if int(n.partition("_")[0]) <= self.open_at]
+        out = [known.get(n) or json.loads(self.store.read_fixed("__commits", n)) for n in names]
+        replaced = {x for m in out for x in m.get("replaces", ())}
+        return [m for m in out if m["id"] not in replaced]
+
+    def _roll_up(self) -> None:
+        """Put all manifests in one file when many are not in one yet.  It only saves reading: losing it is harmless."""
+        names, rolled = self.store.names("__commits"), self.store.names("__rollup")
+        known = json.loads(self.store.read_fixed("__rollup", rolled[-1])) if rolled else {}
+        if sum(n not in known for n in names) >= ROLL_UP:
+            every = {n: known.get(n) or json.loads(self.store.read_fixed("__commits", n)) for n in names}
+            self.store.write(json.dumps(every), "__rollup", f"{len(names):012d}_{uuid.uuid4().hex[:8]}.json")
 
     def fragments(self) -> list[dict]:
         """Manifests of the fragments that a read sees, oldest first."""
@@ -93,23 +117,53 @@ class ArrayTable:
 
     @staticmethod
     def _coordinate(value: Any, kind: str) -> Any:
-        if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
+        """A coordinate as a manifest has it (text) in a form that compares as the dimension does."""
+        if kind in _WHOLE:
             return int(value)
+        if kind.startswith("decimal"):
+            return Decimal(value) if "," in kind and not kind.endswith(",0)") else int(value)
         return float(value) if kind in ("float", "double") else value
 
+    def aggregates(self) -> DataFrame:
+        """One row, ``cells`` and each dimension's least and greatest coordinate (``<dim>_min``, ``<dim>_max``).
+
+        Bounds come from the manifests, as overwriting moves no coordinate; so do counts where no cell can have two
+        versions.  Only arrays with overlapping fragments are scanned for the count, of their coordinates alone.
+        """
+        schema, found = self.schema, [f for f in self.fragments() if f["rows"]]
+        domain = self.non_empty_domain() or {}
+        bounds = [F.lit(None if (v := domain.get(d.name)) is None else str(v[i])).cast(d.kind).alias(f"{d.name}_{n}") for d in schema.dimensions for i, n in enumerate(("min", "max"))]
+        if schema.encrypted:
+            cells = self.slice()
+            return cells.agg(F.count(F.lit(1)).alias("cells"), *[f(d).alias(f"{d}_{n}") for d in schema.dims for n, f in (("min", F.min), ("max", F.max))])
+        if not schema.allows_dups and (self._overlapping(schema, found) or schema.dense):
+            return self.slice(columns=schema.dims).agg(F.count(F.lit(1)).alias("cells")).select("cells", *bounds)
+        return self.spark.range(1).select(F.lit(sum(f["rows"] for f in found)).cast("bigint").alias("cells"), *bounds)
+
+    def find(self, key: tuple, flag: str = "EXACT", dims: list[str] | None = None) -> DataFrame:
+        """Cells by key; ``dims``: the key's parts, by default the leading dimensions.  See ``lookup.find``."""
+        if not self.options.dimensions_are_keys:
+            raise SchemaError("dimensions are not keys in this session")
+        names = dims or self.schema.dims
+        exact = dict(zip(names, key, strict=False)) if flag in ("EXACT", "PREFIX", "PREFIX_LAST") else {}
+        return lookup.find(self.slice(exact), names, key, flag)
+
     # -- reading ---------------------------------------------------------------------------------------------------
 
     def _tiled(self, schema: ArraySchema) -> tuple[str, float, float] | None:
-        """Name, lower bound and extent of the dimension whose tiles are folders."""
+        """Name, lower bound and width of the dimension whose tiles (or groups of them) are folders."""
         for d in schema.dimensions:
             low, high = d.bounds()
-            if not schema.encrypted and isinstance(low, (int, float)) and isinstance(high, (int, float)) and d.extent and 1 < (high - low) / d.extent <= MAX_TILE_FOLDERS:
-                return d.name, low, d.extent
+            if schema.encrypted or not d.extent or d.kind not in (*_WHOLE, "float", "double"):
+                continue
+            if all(isinstance(x, (int, float)) and abs(x) < 2**62 for x in (low, high)) and (high - low) / d.extent > 1:
+                tiles = int((high - low) / d.extent) + 1
+                return d.name, low, d.extent * -(-tiles // MAX_TILE_FOLDERS)
         return None
 
     def _stored(self, schema: ArraySchema) -> T.StructType:
         out = [("__cipher", "binary")] if schema.encrypted else [(d.name, d.kind) for d in schema.dimensions] + [(a.stored, a.kind) for a in schema.attributes]
-        out.append((SEQUENCE, "bigint"))
+        out += [(SEQUENCE, "bigint"), (ORIGIN, "string")]
         if (tiled := self._tiled(schema)) is not None:
             out.append((f"__t_{tiled[0]}", "bigint"))
         return T.StructType([T.StructField(n, K.spark_type(k)) for n, k in [*out, (FRAGMENT, "string")]])
@@ -117,48 +171,103 @@ class ArrayTable:
     def _empty(self, schema: ArraySchema) -> DataFrame:
         return self.spark.createDataFrame([], self._stored(schema))
 
-    def _cells(self, schema: ArraySchema, dims: dict[str, slicing.Slice]) -> tuple[DataFrame, int]:
-        """Stored cells of the fragments that can hold some of the slice, and the number of these fragments."""
-        found = []
+    def _overlapping(self, schema: ArraySchema, found: list[dict]) -> list[dict]:
+        """The fragments whose domain meets another's: only these can hold two versions of a cell."""
+        if any(not f.get("unique") or not f.get("domain") for f in found):
+            return found if len(found) > 1 or not all(f.get("unique") for f in found) else []
+        boxes = [[tuple(self._coordinate(x, d.kind) for x in f["domain"][d.name]) for d in schema.dimensions] for f in found]
+        order = sorted(range(len(found)), key=lambda i: boxes[i][0][0])
+        met, active = set(), []
+        for i in order:
+            active = [j for j in active if boxes[j][0][1] >= boxes[i][0][0]]
+            for j in active:
+                if all(a[0] <= b[1] and b[0] <= a[1] for a, b in zip(boxes[i], boxes[j], strict=True)):
+                    met |= {i, j}
+            active.append(i)
+        return [found[i] for i in sorted(met)]
+
+    def _selected(self, schema: ArraySchema, dims: dict[str, slicing.Slice]) -> list[dict]:
+        """The fragments that can hold some of the slice."""
+        known = (*_WHOLE, "float", "double", "string")
+        out = []
         for f in self.fragments():
             spans = f.get("domain") or {}
-            if f["rows"] and all(slicing.overlaps(s, *(self._coordinate(v, schema.dimension(d).kind) for v in spans[d])) for d, s in dims.items() if spans.get(d) and schema.dimension(d).kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "string")):
-                found.append(f["id"])
+            if f["rows"] and all(slicing.overlaps(s, *(self._coordinate(v, schema.dimension(d).kind) for v in spans[d])) for d, s in dims.items() if spans.get(d) and schema.dimension(d).kind in known):
+                out.append(f)
+        return out
+
+    def _cells(self, schema: ArraySchema, dims: dict[str, slicing.Slice], found: list[dict]) -> DataFrame:
+        """Stored cells of the fragments, within the slice."""
         if not found:
-            return self._empty(schema), 0
-        paths = [self.store.at("__fragments", f"{FRAGMENT}={x}") for x in found]
+            return self._empty(schema)
+        paths = [self.store.at("__fragments", f"{FRAGMENT}={f['id']}") for f in found]
         cells = self.spark.read.option("basePath", self.store.at("__fragments")).schema(self._stored(schema)).parquet(*paths)
         if schema.encrypted:
             inner = T.StructType([T.StructField(d.name, K.spark_type(d.kind)) for d in schema.dimensions] + [T.StructField(a.stored, K.spark_type(a.kind)) for a in schema.attributes])
-            plain = F.from_json(F.aes_decrypt(F.col("__cipher"), F.lit(self.key.encode()), F.lit("GCM")).cast("string"), inner)
-            cells = cells.withColumn("__plain", plain).select("__plain.*", SEQUENCE, FRAGMENT)
+            plain = F.from_json(F.aes_decrypt(F.col("__cipher"), F.lit(self.key.encode()), F.lit("GCM")).cast("string"), inner, _JSON)
+            cells = cells.withColumn("__plain", plain).select("__plain.*", SEQUENCE, ORIGIN, FRAGMENT)
         for d, s in dims.items():
             cells = cells.where(slicing.predicate(F.col(d), s))
         tiled = self._tiled(schema)
         if tiled is not None and tiled[0] in dims:
             condition = slicing.tile_predicate(F.col(f"__t_{tiled[0]}"), dims[tiled[0]], tiled[1], tiled[2])
             cells = cells if condition is None else cells.where(condition)
-        return cells, len(found)
+        return cells
+
+    def _merged(self, schema: ArraySchema, dims: dict[str, slicing.Slice], found: list[dict], names: list[str]) -> DataFrame:
+        """The last version of each cell: what no other fragment meets is read as it is, without exchange or sort.
 
-    def slice(self, dims: dict[str, slicing.Slice] | None = None, columns: list[str] | None = None) -> DataFrame:
+        Where a few newer cells (``Options.delta_rows`` at most, by the manifests) lie over large fragments that do not
+        meet one another, the large ones are read but for the newer coordinates, which are broadcast: fixed-width rows
+        of a bounded number.  All others meet in one sort-based aggregate.
+        """
+        order = [F.coalesce(ORIGIN, FRAGMENT), F.col(SEQUENCE)]
+
+        def last(own: list[dict]) -> DataFrame:
+            return merge.last_write_wins(self._cells(schema, dims, own).select(*schema.dims, *names, FRAGMENT, SEQUENCE, ORIGIN), schema.dims, order, names)
+
+        met = self._overlapping(schema, found)
+        alone = [f for f in found if f not in met]
+        parts = [self._cells(schema, dims, alone).select(*schema.dims, *names)] if alone or not met else []
+        if met:
+            newer, held = [], 0
+            for f in sorted(met, key=lambda f: f["id"], reverse=True):
+                if f.get("replaces") or held + f["rows"] > self.options.delta_rows:
+                    break
+                newer.append(f)
+                held += f["rows"]
+            base = [f for f in met if f not in newer]
+            fixed = all(d.kind not in ("string", "binary") for d in schema.dimensions)
+            if base and newer and fixed and not schema.encrypted and not self._overlapping(schema, base) and all(b["timestamp"] < f["timestamp"] for b in base for f in newer):
+                fresh = last(newer) if len(newer) > 1 else self._cells(schema, dims, newer).select(*schema.dims, *names)
+                over = self._cells(schema, dims, newer).select(*schema.dims).distinct()
+                parts += [self._cells(schema, dims, base).select(*schema.dims, *names).join(F.broadcast(over), schema.dims, "left_anti"), fresh]
+            else:
+                parts.append(last(met))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def slice(self, dims: dict[str, slicing.Slice] | None = None, columns: list[str] | None = None, max_cells: int = D.MAX_CELLS) -> DataFrame:
         """Cells of a subarray.  Coordinates are filtered before versions are merged, attributes never are.
 
-        The merge is left out where it cannot matter: duplicates allowed, or one fragment written without repeats.
+        The merge is left out where it cannot matter: duplicates allowed, or fragments that do not meet.  ``max_cells``:
+        the size up to which a dense array's grid is built.
         """
         schema, dims = self.schema, dict(dims or {})
         for d in dims:
             if d not in schema.dims:
                 raise SchemaError(f"{d} is no dimension")
         wanted = columns if columns is not None else schema.columns
-        cells, count = self._cells(schema, dims)
         attrs = [a for a in schema.attributes if a.name in wanted]
         names = [a.stored for a in attrs]
-        if not schema.allows_dups and not (count <= 1 and all(f.get("unique") for f in self.fragments())):
-            cells = merge.last_write_wins(cells.select(*schema.dims, *names, FRAGMENT, SEQUENCE), schema.dims, [FRAGMENT, SEQUENCE], names)
+        found = self._selected(schema, dims)
+        cells = self._cells(schema, dims, found) if schema.allows_dups else self._merged(schema, dims, found, names)
         cells = cells.select(*schema.dims, *[self._value(a) for a in attrs])
         if schema.dense and (box := self._box(schema, dims)) is not None:
             fills = {a.name: self._fill(a) for a in attrs}
-            cells = D.dense_fill(cells, box, fills)
+            cells = D.dense_fill(cells, box, fills, max_cells)
             for d, s in dims.items():
                 cells = cells.where(slicing.predicate(F.col(d), s))
         cells = cells.select(*wanted)
@@ -178,14 +287,21 @@ class ArrayTable:
         return K.fill_column(a.fill, a.kind)
 
     def _box(self, schema: ArraySchema, dims: dict[str, slicing.Slice]) -> dict[str, tuple[int, int]] | None:
-        """The non-empty domain, cut to the slice's outer bounds."""
+        """The non-empty domain, cut to the slice's outer bounds; dates as days since 1970."""
         domain = self.non_empty_domain()
-        if domain is None or not all(isinstance(a, int) for a, _ in domain.values()):
+        if domain is None:
             return None
+
+        def number(value: Any) -> Any:
+            if isinstance(value, str):
+                value = datetime.date.fromisoformat(value)
+            return (value - datetime.date(1970, 1, 1)).days if isinstance(value, datetime.date) else value
+
         out = {}
-        for d, (low, high) in domain.items():
+        for d, ends in domain.items():
+            low, high = map(number, ends)
             if d in dims:
-                spans = slicing._ranges(dims[d])
+                spans = [tuple(number(x) for x in r) for r in slicing._ranges(dims[d])]
                 low = max(low, min((a for a, _ in spans), default=low) if all(a is not None for a, _ in spans) else low)
                 high = min(high, max((b for _, b in spans), default=high) if all(b is not None for _, b in spans) else high)
             out[d] = (low, high)
@@ -220,19 +336,35 @@ class ArrayTable:
         known = self.store.names("__commits")
         last = int(known[-1].partition("_")[0]) if known else 0
         stamp = timestamp if timestamp is not None else max(int(time.time() * 1000), last + 1)
-        own = f"{stamp:020d}_{len(known):08d}{uuid.uuid4().hex[:12]}"
+        return self._write(schema, rows, stamp)
+
+    def _write(self, schema: ArraySchema, rows: DataFrame, stamp: int, replaces: list[str] | None = None) -> str:
+        """Write stored cells as one fragment and commit it.  Of several cells of a coordinate the last one stays (if
+        duplicates are not allowed), so that every fragment is free of them: equal coordinates lie in one range
+        partition side by side, which takes no further exchange."""
+        own = f"{stamp:020d}_{len(self.store.names('__commits')):08d}{uuid.uuid4().hex[:12]}"
         watch = Observation(own)
         measured = [F.count(F.lit(1)).alias("rows"), *[f(F.col(d)).cast("string").alias(f"{n}{i}") for i, d in enumerate(schema.dims) for n, f in (("lo", F.min), ("hi", F.max))]]
         tiled = self._tiled(schema)
         if tiled is not None:
-            rows = rows.withColumn(f"__t_{tiled[0]}", F.floor((F.col(tiled[0]) - F.lit(tiled[1])) / F.lit(tiled[2])).cast("bigint"))
-        keys = self._order(schema, tiled)
-        rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if not schema.encrypted else rows
-        rows = rows.observe(watch, *measured)  # above the range partitioning, whose sampling reads the rows once more
+            name, low, width = tiled
+            whole = F.call_function("div", F.col(name).cast("bigint") - F.lit(low), F.lit(width).cast("bigint")) if isinstance(low, int) and isinstance(width, int) else F.floor((F.col(name) - F.lit(low)) / F.lit(width))
+            rows = rows.withColumn(f"__t_{name}", whole.cast("bigint"))
+        if (curve := self._curve(schema)) is not None and not schema.encrypted:
+            rows = rows.withColumn("__h", curve)
+        keys = [] if schema.encrypted else [c for c in (f"__t_{tiled[0]}" if tiled else "", "__h") if c in rows.columns]
+        keys += schema.dims[::-1] if schema.cell_order == "COLUMN_MAJOR" else schema.dims
+        if not schema.encrypted:
+            rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, F.col(SEQUENCE).desc())
+        if not schema.allows_dups:
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(SEQUENCE).desc()))
+            rows = rows.withColumn("__place", place).where("__place = 1").drop("__place")
+        rows = rows.drop("__h").observe(watch, *measured)  # above the range partitioning, whose sampling reads the rows once more
         if schema.encrypted:
-            inner = F.to_json(F.struct(*schema.dims, *[a.stored for a in schema.attributes]))
-            rows = rows.select(F.aes_encrypt(inner.cast("binary"), F.lit(self.key.encode()), F.lit("GCM")).alias("__cipher"), SEQUENCE)
-        writer = rows.write.option("compression", schema.codec())
+            inner = F.to_json(F.struct(*schema.dims, *[a.stored for a in schema.attributes]), _JSON)
+            more = [c for c in (SEQUENCE, ORIGIN) if c in rows.columns]
+            rows = rows.select(F.aes_encrypt(inner.cast("binary"), F.lit(self.key.encode()), F.lit("GCM")).alias("__cipher"), *more)
+        writer = rows.write.options(**schema.write_options())
         if self.options.max_records_per_file:
             writer = writer.option("maxRecordsPerFile", self.options.max_records_per_file)
         if tiled is not None:
@@ -240,16 +372,16 @@ class ArrayTable:
         writer.parquet(self.store.at("__fragments", f"{FRAGMENT}={own}"))
         got = watch.get
         domain = {} if schema.encrypted else {d: [got[f"lo{i}"], got[f"hi{i}"]] for i, d in enumerate(schema.dims)}
-        self.store.write(json.dumps({"id": own, "timestamp": stamp, "rows": got["rows"], "domain": domain, "schema": schema.version, "unique": False}), "__commits", f"{own}.json")
+        manifest = {"id": own, "timestamp": stamp, "rows": got["rows"], "domain": domain, "schema": schema.version, "unique": not schema.allows_dups}
+        self.store.write(json.dumps(manifest | ({"replaces": replaces} if replaces else {})), "__commits", f"{own}.json")
+        self._roll_up()
         return own
 
-    def _order(self, schema: ArraySchema, tiled: tuple | None) -> list[Column]:
-        tiles = [F.col(f"__t_{tiled[0]}")] if tiled is not None else []
-        if schema.cell_order == "HILBERT" and len(schema.dims) == 2 and all(d.kind != "string" and isinstance(d.bounds()[0], (int, float)) for d in schema.dimensions):
-            scaled = [ordering.scaled(F.col(d.name), float(max(d.bounds()[0], -1e300)), float(min(d.bounds()[1], 1e300))) for d in schema.dimensions]
-            return [*tiles, ordering.hilbert(*scaled)]
-        names = schema.dims[::-1] if schema.cell_order == "COLUMN_MAJOR" else schema.dims
-        return [*tiles, *map(F.col, names)]
+    def _curve(self, schema: ArraySchema) -> Column | None:
+        """The place of a cell on the Hilbert curve, for two numeric dimensions."""
+        if schema.cell_order != "HILBERT" or len(schema.dims) != 2 or not all(d.kind in (*_WHOLE, "float", "double") for d in schema.dimensions):
+            return None
+        return ordering.hilbert(*[ordering.scaled(F.col(d.name), float(max(d.bounds()[0], -1e300)), float(min(d.bounds()[1], 1e300))) for d in schema.dimensions])
 
     def _checked(self, schema: ArraySchema, name: str, there: bool) -> Column:
         if name in schema.dims:
@@ -260,7 +392,7 @@ class ArrayTable:
             if d.kind != "string":
                 low, high = d.bounds()
                 if low is not None and high is not None:
-                    inside = (value >= F.lit(low).cast(kind)) & (value <= F.lit(high).cast(kind)) if low != float("-inf") else value.isNotNull()
+                    inside = (value >= F.lit(str(low)).cast(kind)) & (value <= F.lit(str(high)).cast(kind)) if low != float("-inf") else value.isNotNull()
                     checked = checked.when(~inside, F.raise_error(F.concat(F.lit(f"dimension {name} is out of its domain: "), value.cast("string"))).cast(kind))
             return checked.otherwise(value.cast(kind)).alias(name)
         a = schema.attribute(name)
@@ -287,39 +419,49 @@ class ArrayTable:
         return None if rows.isEmpty() else self.insert(rows, timestamp)
 
     def compact(self) -> None:
-        """Rewrite what is read now as one fragment without repeats, then forget the older ones."""
-        old = self.fragments()
-        if len(old) < 2 or self.schema.allows_dups:
+        """Rewrite what is read now as one fragment, whose manifest names those that it replaces: one commit does both.
+
+        It is dated as the newest of these, and each cell keeps the fragment that it was written in, so that writes
+        that come in meanwhile win or lose against it as they would have.  The replaced fragments stay for reads as of
+        earlier times, until ``vacuum``.
+        """
+        schema, old = self.schema, self._commits()
+        if len(old) < 2 or schema.allows_dups:
             return
-        schema = self.schema
-        cells, _ = self._cells(schema, {})
         names = [a.stored for a in schema.attributes]
-        merged = merge.last_write_wins(cells.select(*schema.dims, *names, FRAGMENT, SEQUENCE), schema.dims, [FRAGMENT, SEQUENCE], names)
-        own = self.insert(merged.select(*schema.dims, *[self._value(a) for a in schema.attributes]))
-        manifest = json.loads(self.store.read("__commits", f"{own}.json")) | {"unique": True}
-        self.store.delete("__commits", f"{own}.json")
-        self.store.write(json.dumps(manifest), "__commits", f"{own}.json")
-        for f in old:
-            self.store.delete("__commits", f"{f['id']}.json")
-            self.store.delete("__fragments", f"{FRAGMENT}={f['id']}")
+        cells = self._cells(schema, {}, old).withColumn(ORIGIN, F.coalesce(ORIGIN, FRAGMENT))
+        merged = merge.last_write_wins(cells.select(*schema.dims, *names, ORIGIN, SEQUENCE), schema.dims, [ORIGIN, SEQUENCE], [*names, ORIGIN, SEQUENCE])
+        self._write(schema, merged, max(f["timestamp"] for f in old), [f["id"] for f in old])
+
+    def vacuum(self) -> None:
+        """Delete replaced fragments.  Reads as of times before the fragment that replaced them are refused from then
+        on; readers that were opened before must have ended."""
+        every = [json.loads(self.store.read_fixed("__commits", n)) for n in self.store.names("__commits")]
+        for m in every:
+            gone = [f for f in every if f["id"] in m.get("replaces", ())]
+            if not gone:
+                continue
+            first = min(f["timestamp"] for f in gone)
+            if first < m["timestamp"]:
+                self.store.write("{}", "__vacuum", f"{first:020d}_{m['timestamp']:020d}.json")
+            for f in gone:
+                self.store.delete("__commits", f"{f['id']}.json")
+                self.store.delete("__fragments", f"{FRAGMENT}={f['id']}")
 
     # -- metadata --------------------------------------------------------------------------------------------------
 
     def put_metadata(self, items: dict[str, Any], timestamp: int | None = None) -> None:
         stamp = int(time.time() * 1000) if timestamp is None else timestamp
-        self.store.write(json.dumps(items), "__meta", f"{stamp:020d}_{len(self.store.names('__meta')):08d}.json")
+        self.store.write(json.dumps(items, default=str), "__meta", f"{stamp:020d}_{len(self.store.names('__meta')):08d}.json")
 
     def metadata_values(self) -> dict[str, Any]:
         out: dict[str, Any] = {}
         for name in self.store.names("__meta"):
             if self.open_at is None or int(name.partition("_")[0]) <= self.open_at:
-                out |= json.loads(self.store.read("__meta", name))
+                out |= json.loads(self.store.read_fixed("__meta", name))
         return out
 
     def metadata(self) -> DataFrame:
         """``key, value`` text of each metadata item."""
         return self.spark.createDataFrame([(k, values.metadata_text(v)) for k, v in sorted(self.metadata_values().items())], "key string, value string")
 
-
-def where_all(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
