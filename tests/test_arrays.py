@@ -258,6 +258,147 @@ def test_compaction_keeps_what_is_read(catalog, spark):
     assert rows(table.df()) == before and len(table.fragments()) == 1
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_fragment_and_disjoint_ones_are_read_without_exchange(catalog, spark):
+    table = catalog.create("t", dup_schema())
+    table.insert(spark.createDataFrame([(d, d) for d in [*range(50), *range(50)]], "dim1 int, attr1 int"))
+    assert table.fragments()[0]["rows"] == 50 and "Exchange" not in plan_of(table.df()) and "Sort" not in plan_of(table.df())
+    assert "GreaterThan(attr1__v0,40)" in plan_of(table.df().where("attr1 > 40"))  # nothing is merged, so it may go down
+    table.insert(spark.createDataFrame([(d, -d) for d in range(50, 60)], "dim1 int, attr1 int"))
+    assert "Exchange" not in plan_of(table.df()) and table.df().count() == 60
+    table.insert(spark.createDataFrame([(55, 0)], "dim1 int, attr1 int"))
+    assert "Exchange" in plan_of(table.df()) and rows(table.df().where("dim1 >= 55"))[0] == (55, 0)
+    assert plan_of(table.df()).count("Exchange") == 1
+
+
+def test_small_deltas_are_broadcast_over_large_fragments(catalog, spark):
+    table = catalog.create("t", dup_schema())
+    table.insert(spark.createDataFrame([(d, d) for d in range(90)], "dim1 int, attr1 int"))
+    table.insert(spark.createDataFrame([(7, -7), (95, 5)], "dim1 int, attr1 int"))
+    table.insert(spark.createDataFrame([(7, None), (8, -8)], "dim1 int, attr1 int"))
+    merged = rows(table.df())
+    over = ArrayTable(spark, table.path, options=Options(delta_rows=10))
+    assert rows(over.df()) == merged and len(merged) == 91 and (7, None) in merged
+    assert "BroadcastHashJoin" in plan_of(over.df()) and "LeftAnti" in plan_of(over.df())
+    assert rows(over.slice({"dim1": (6, 9)})) == [r for r in merged if 6 <= r[0] <= 9]
+
+
+def test_writes_during_a_compaction_are_kept(catalog, spark, monkeypatch):
+    table = catalog.create("t", dup_schema())
+    frame = lambda *cells: spark.createDataFrame(list(cells), "dim1 int, attr1 int")
+    table.insert(frame((1, 1), (2, 1)), timestamp=10)
+    table.insert(frame((1, 2)), timestamp=30)
+    write = ArrayTable._write
+
+    def meanwhile(self, schema, cells, stamp, replaces=None):
+        if replaces:
+            monkeypatch.setattr(ArrayTable, "_write", write)
+            table.insert(frame((1, 99)), timestamp=40)
+            table.insert(frame((2, 98), (1, 97)), timestamp=20)  # dated between the compacted ones
+        return write(self, schema, cells, stamp, replaces)
+
+    monkeypatch.setattr(ArrayTable, "_write", meanwhile)
+    table.compact()
+    assert rows(table.df()) == [(1, 99), (2, 98)]
+    assert rows(ArrayTable(spark, table.path, open_at=30).df()) == [(1, 2), (2, 98)]
+
+
+def test_history_survives_compaction_until_vacuum(catalog, spark):
+    table = catalog.create("t", dup_schema())
+    for k in (10, 20, 30):
+        table.insert(spark.createDataFrame([(1, k), (k, k)], "dim1 int, attr1 int"), timestamp=k)
+    at = lambda t: rows(ArrayTable(spark, table.path, open_at=t).df())
+    before = [at(t) for t in (5, 15, 25, 30)]
+    table.compact()
+    assert [at(t) for t in (5, 15, 25, 30)] == before and rows(table.df()) == before[-1]
+    table.vacuum()
+    assert rows(table.df()) == before[-1] == at(30) and at(5) == [] and len(table.store.names("__commits")) == 1
+    with pytest.raises(ValueError, match="vacuum"):
+        at(15)
+    table.insert(spark.createDataFrame([(1, 40)], "dim1 int, attr1 int"), timestamp=40)
+    assert (1, 40) in rows(table.df())
+
+
+def test_manifests_are_rolled_up(catalog, spark, monkeypatch):
+    from gridlake.sources import table as module
+    from gridlake.sources.store import Store
+
+    monkeypatch.setattr(module, "ROLL_UP", 3)
+    table = catalog.create("t", dup_schema())
+    for k in range(7):
+        table.insert(spark.createDataFrame([(k, k)], "dim1 int, attr1 int").coalesce(1), timestamp=k + 1)
+    assert len(table.store.names("__rollup")) == 2
+    monkeypatch.setattr(Store, "_fixed", {})
+    read = []
+    monkeypatch.setattr(Store, "read", lambda self, *parts, f=Store.read: read.append(parts) or f(self, *parts))
+    assert len(table.fragments()) == 7 and len([p for p in read if p[0] == "__commits"]) == 1
+    assert len(ArrayTable(spark, table.path, open_at=4).fragments()) == 4
+
+
+def test_encrypted_cells_keep_every_type(catalog, spark):
+    import datetime
+
+    at = datetime.datetime(2020, 1, 2, 3, 4, 5, 123456)
+    schema = ArraySchema((Dimension("d", "DATETIME(6)", extent=1),), (Attribute("t", "DATETIME(6)"), Attribute("b", "BLOB"), Attribute("x", "DOUBLE"), Attribute("u", "BIGINT UNSIGNED")), encrypted=True)
+    table = catalog.create("e", schema, encryption_key="k" * 32)
+    cells = [(at, at, b"\x00\xff", float("inf"), Decimal(2**64 - 1)), (at.replace(microsecond=1), None, None, None, None)]
+    table.insert(spark.createDataFrame(cells, "d timestamp_ntz, t timestamp_ntz, b binary, x double, u decimal(20,0)"))
+    assert sorted((tuple(r) for r in table.df().collect()), key=repr) == sorted(((d, t, None if b is None else bytearray(b), x, u) for d, t, b, x, u in cells), key=repr)
+
+
+def test_dense_dates_and_refused_dense_times(catalog, spark):
+    table = catalog.create("d", ArraySchema((Dimension("day", "DATE", extent=1),), (Attribute("v", "INT"),), "DENSE"))
+    table.insert(spark.createDataFrame([("2024-02-28", 1), ("2024-03-01", 2)], "day string, v int").selectExpr("cast(day as date) day", "v"))
+    assert [(str(d), v) for d, v in rows(table.df())] == [("2024-02-28", 1), ("2024-02-29", None), ("2024-03-01", 2)]
+    assert table.slice({"day": ("2024-02-29", None)}).count() == 2
+    with pytest.raises(SchemaError):
+        ArraySchema((Dimension("t", "DATETIME", extent=1),), (), "DENSE")
+    with pytest.raises(ValueError, match="limit"):
+        table.slice(max_cells=2)
+
+
+def test_unsigned_dimensions(catalog, spark):
+    table = catalog.create("u", ArraySchema((Dimension("d", "BIGINT UNSIGNED", extent=1),), (Attribute("v", "INT"),)))
+    table.insert(spark.createDataFrame([(Decimal(2**64 - 2), 1), (Decimal(0), 2)], "d decimal(20,0), v int"))
+    assert rows(table.slice({"d": (Decimal(2**63), None)})) == [(Decimal(2**64 - 2), 1)]
+    with pytest.raises(Exception, match="out of its domain"):
+        table.insert(spark.createDataFrame([(-1, 1)], "d int, v int"))
+
+
+def test_many_tiles_share_folders(catalog, spark):
+    table = catalog.create("t", ArraySchema((Dimension("d", "BIGINT", 0, 10**6, 10),), (Attribute("v", "INT"),)))
+    table.insert(spark.range(0, 10**6, 500).selectExpr("id d", "cast(id as int) v"))
+    assert rows(table.slice({"d": (3500, 4499)})) == [(3500, 3500), (4000, 4000)]
+    assert len({f.split("__t_d=")[1].split("/")[0] for f in table.df().inputFiles()}) <= 256
+    assert "__t_d" in plan_of(table.slice({"d": (3500, 4499)})).split("PartitionFilters")[1].split("]")[0]
+
+
+def test_filters_reach_the_files(catalog, spark):
+    schema = ArraySchema((Dimension("d", "INT", 0, 9, 10),), (Attribute("a", "VARCHAR", filters="NONE"), Attribute("b", "VARCHAR", filters="DICTIONARY")), coordinate_filters="GZIP=9")
+    assert schema.write_options() == {"compression": "gzip", "zlib.compress.level": "BEST_COMPRESSION", "parquet.enable.dictionary#a__v0": "false", "parquet.enable.dictionary#b__v0": "true"}
+    table = catalog.create("t", schema)
+    table.insert(spark.createDataFrame([(i, "x" * 9, "y" * 9) for i in range(9)], "d int, a string, b string").coalesce(1))
+    import pyarrow.parquet as pq
+
+    meta = pq.ParquetFile(table.df().inputFiles()[0].removeprefix("file://")).metadata.row_group(0)
+    columns = {meta.column(i).path_in_schema: meta.column(i) for i in range(meta.num_columns)}
+    assert columns["a__v0"].compression == "GZIP" and not columns["a__v0"].has_dictionary_page and columns["b__v0"].has_dictionary_page
+
+
+def test_options_take_effect(catalog, spark):
+    table = catalog.create("t", dup_schema())
+    with pytest.raises(SchemaError):
+        ArrayTable(spark, table.path, options=Options(dimensions_are_keys=False)).find((1,))
+    try:
+        ArrayCatalog(spark, catalog.root, Options(enable_pushdown=False, read_batch_rows=128))
+        assert spark.conf.get("spark.sql.parquet.filterPushdown") == "false" and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "128"
+    finally:
+        Options().apply(spark)
+
+
 def test_layouts_and_pinned_snapshots(catalog, spark):
     quickstart(catalog, spark)
     col = ArrayTable(spark, catalog.path("q"), options=Options(read_layout="col-major"))

@@ -156,3 +156,16 @@ def test_batched_key_join(spark):
     keys = spark.createDataFrame([(5, "a"), (7, "b"), (500, "c")], "k long, n string")
     assert sorted(tuple(r) for r in lookup.batched_key_join(cells, keys, ["k"]).collect()) == [(5, 10, "a"), (7, 14, "b")]
     assert lookup.batched_key_join(cells, keys.limit(0), ["k"]).count() == 0
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from gridlake.sources.scratch import shared_dir
+
+    unset = SimpleNamespace(get=lambda _: None)
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn", getConf=lambda: unset, getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        shared_dir(spark)
