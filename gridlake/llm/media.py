@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from gridlake.llm.shared import cut, map_batches, texts_of
 
 WIDTH = 64
+#: Rows of an image that are summed at once.
+STRIP = 4096
 
 
 def encode_pgm(image: np.ndarray) -> bytes:
@@ -78,19 +80,34 @@ def encode_bmp(image: np.ndarray) -> bytes:
     return b"BM" + struct.pack("<IHHI", start + padded.size, 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8 if grey else 24, 0, padded.size, 2835, 2835, 256 if grey else 0, 0) + palette + padded.tobytes()
 
 
+def _channels(values: np.ndarray, masks: tuple[int, ...]) -> np.ndarray:
+    """The masked parts of whole pixels, each scaled to 8 bits."""
+    out = []
+    for mask in masks:
+        if not mask:
+            raise ValueError("BMP without a colour mask")
+        shift = (mask & -mask).bit_length() - 1
+        out.append((values & mask) >> shift) if mask >> shift == 255 else out.append(((values & mask) >> shift) * 255 // (mask >> shift))
+    return np.stack(out, axis=2).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP with 1, 4 or 8 bits and a palette, or 24 or 32 bits; RGB, or grey if the palette is grey."""
+    """Uncompressed BMP with 1, 4 or 8 bits and a palette, or 16, 24 or 32 bits, also by the masks that it states; RGB,
+    or grey if the palette is grey."""
     if data[:2] != b"BM":
         raise ValueError("not BMP")
     start, size = struct.unpack_from("<II", data, 10)
     width, height, _, bits, packing = struct.unpack_from("<iiHHI", data, 18)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
+    if packing not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or (packing == 3 and bits not in (16, 32)):
         raise ValueError("compressed BMP")
     colours = struct.unpack_from("<I", data, 46)[0] or (1 << bits if bits <= 8 else 0)
     stride = (width * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
     if height > 0:
         rows = rows[::-1]
+    if packing == 3 or bits == 16:
+        masks = struct.unpack_from("<III", data, 54) if packing == 3 else (0x7C00, 0x03E0, 0x001F)
+        return _channels(np.ascontiguousarray(rows[:, : width * bits // 8]).view("<u4" if bits == 32 else "<u2").astype(np.uint64), masks)
     if bits >= 24:
         return np.ascontiguousarray(rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1])
     if bits < 8:
@@ -106,20 +123,31 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
+def _edges(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each edge between so many parts of n pixels, the pixel that it is in and how far into it."""
+    edge = np.linspace(0, n, parts + 1)
+    low = np.minimum(np.floor(edge).astype(np.int64), n - 1)
+    return low, edge - low
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's exact area (fractions of pixels too), from the integral image."""
-    grey = image.astype(np.float64) if image.ndim == 2 else image.astype(np.float64).mean(axis=2)
-    h, w = grey.shape
-    total = np.zeros((h + 1, w + 1))
-    total[1:, 1:] = grey.cumsum(axis=0).cumsum(axis=1)
-
-    def at(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        edge = np.linspace(0, n, parts + 1)
-        low = np.minimum(np.floor(edge).astype(np.int64), n - 1)
-        return low, edge - low
-
-    (y, fy), (x, fx) = at(h, height), at(w, width)
-    rows = total[y] * (1 - fy)[:, None] + total[y + 1] * fy[:, None]
+    """Mean over each target cell's exact area (fractions of pixels too), from the integral image.
+
+    Only the integral's rows at the cells' edges are kept; the others are summed strip by strip, so that a large image
+    needs little more memory than its own.
+    """
+    h, w = image.shape[:2]
+    (y, fy), (x, fx) = _edges(h, height), _edges(w, width)
+    needed = np.unique(np.concatenate([y, y + 1]))
+    total, above = np.zeros((len(needed), w + 1)), np.zeros(w)
+    for a in range(0, h, STRIP):
+        strip = image[a : a + STRIP].astype(np.float64)
+        sums = above + (strip if image.ndim == 2 else strip.mean(axis=2)).cumsum(axis=0)
+        here = (needed > a) & (needed <= a + len(sums))
+        total[here, 1:] = sums[needed[here] - a - 1].cumsum(axis=1)
+        above = sums[-1]
+    upper, lower = np.searchsorted(needed, y), np.searchsorted(needed, y + 1)
+    rows = total[upper] * (1 - fy)[:, None] + total[lower] * fy[:, None]
     cells = rows[:, x] * (1 - fx) + rows[:, x + 1] * fx
     return (cells[1:, 1:] - cells[:-1, 1:] - cells[1:, :-1] + cells[:-1, :-1]) / ((h / height) * (w / width))
 
@@ -131,9 +159,9 @@ def difference_hash(image: np.ndarray) -> str:
 
 
 def npy_tile(image: np.ndarray, height: int = 16, width: int = 16) -> bytes:
-    """The area-resized image as an NPY file of 8-bit samples."""
+    """The area-resized image as an NPY file of 8-bit samples, row by row."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.round(area_resize(image, height, width)), 0, 255).astype(np.uint8))
+    np.save(out, np.ascontiguousarray(np.clip(np.round(area_resize(image, height, width)), 0, 255), dtype=np.uint8))
     return out.getvalue()
 
 
@@ -180,6 +208,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """Write the media column to a table in the shared folder, read it back and compute features of what was read; these,
     with the NPY tiles, are a second table beside it.
 
-    One row per row of ``docs``; equal texts have equal values.  Row-local: nothing is shuffled.
+    One row per row of ``docs``, repeated ones too; equal texts have equal values.  Null text counts as empty, which is
+    64 zero bytes; other columns are not read; an empty table gives no rows.  Row-local: nothing is shuffled.  A text is
+    stored whole, in memory of a few times its length.
     """
     return cut(media_features(cut(store_texts(docs), "media")), "tiles")

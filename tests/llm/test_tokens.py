@@ -206,6 +206,63 @@ def test_area_resize_is_the_exact_mean():
     assert media.difference_hash(ramp) == "f" * 16 and media.difference_hash(ramp[:, ::-1]) == "0" * 16
 
 
+def plain_resize(image, height, width):
+    """Each target cell's mean by loops over the pixels that it touches."""
+    h, w = image.shape
+    out = np.zeros((height, width))
+    part = lambda k, n, parts, i: max(0.0, min(k + 1, (i + 1) * n / parts) - max(k, i * n / parts))
+    for i in range(height):
+        for j in range(width):
+            ys = [(y, part(y, h, height, i)) for y in range(h)]
+            xs = [(x, part(x, w, width, j)) for x in range(w)]
+            out[i, j] = sum(a * b * float(image[y, x]) for y, a in ys if a for x, b in xs if b) / (h * w / height / width)
+    return out
+
+
+def test_features_equal_a_plain_version(spark, make_docs, monkeypatch):
+    import io
+
+    texts = ["", None, "some words " * 9, "é" * 500, "".join(chr(33 + k * 7 % 90) for k in range(1500))]
+    for r in media.media_columns(make_docs(texts)).collect():
+        image = np.frombuffer(media.payload_of(texts[r.doc_id])[1], np.uint8).reshape(-1, 64)
+        small = np.round(plain_resize(image, 8, 9), 6)
+        bits = "".join("01"[int(a < b)] for row in small for a, b in zip(row, row[1:]))  # noqa: B905
+        tile = np.clip(np.round(plain_resize(image, 16, 16)), 0, 255).astype(np.uint8)
+        out = io.BytesIO()
+        np.save(out, tile)
+        assert r.tile == out.getvalue()
+        assert r.feature == f"dhash:{int(bits, 2):016x};tile:{hashlib.sha256(out.getvalue()).hexdigest()[:16]}"
+
+
+def test_resizing_by_strips_changes_nothing(monkeypatch):
+    image = np.random.default_rng(5).integers(0, 256, (1000, 64), np.uint8)
+    whole = media.area_resize(image, 16, 16)
+    for strip in (1, 7, 999, 1000):
+        monkeypatch.setattr(media, "STRIP", strip)
+        assert (media.area_resize(image, 16, 16) == whole).all()
+
+
+def test_large_images_need_little_memory():
+    import tracemalloc
+
+    image = np.zeros((400_000, 64), np.uint8)
+    tracemalloc.start()
+    media.difference_hash(image)
+    assert tracemalloc.get_traced_memory()[1] < image.size / 2
+    tracemalloc.stop()
+
+
+def test_bmp_masks():
+    head = lambda bits, packing, more: b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + len(more)) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, bits, packing, 0, 0, 0, 0, 0) + more
+    pixels = struct.pack("<II", 0x11223344, 0xFFEEDDCC)
+    assert media.decode(head(32, 3, struct.pack("<III", 0xFF, 0xFF00, 0xFF0000)) + pixels).tolist() == [[[0x44, 0x33, 0x22], [0xCC, 0xDD, 0xEE]]]
+    assert media.decode(head(32, 3, struct.pack("<III", 0xFF000000, 0xFF0000, 0xFF00)) + pixels).tolist() == [[[0x11, 0x22, 0x33], [0xFF, 0xEE, 0xDD]]]
+    assert media.decode(head(16, 0, b"") + struct.pack("<HH", 0x7C00, 0x001F)).tolist() == [[[255, 0, 0], [0, 0, 255]]]
+    assert media.decode(head(16, 3, struct.pack("<III", 0xF800, 0x07E0, 0x001F)) + struct.pack("<HH", 0x07E0, 0xF800)).tolist() == [[[0, 255, 0], [255, 0, 0]]]
+    with pytest.raises(ValueError):
+        media.decode(head(32, 3, struct.pack("<III", 0, 1, 2)) + pixels)
+
+
 def test_media_query(spark, make_docs):
     texts = [*ODD, "y" * 64, "z" * 65, "same", "same"]
     rows = {r.doc_id: r for r in media.media_columns(make_docs(texts).withColumn("media", F.lit(1))).collect()}
