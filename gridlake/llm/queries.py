@@ -33,11 +33,12 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify_documents(_docs(spark, sf_dir)).select(F.col("key").alias("doc_id"), "lang", "posterior", "declared", "accepted")
+    """Pages, whose markup declares the language and whose addresses have a suffix: all evidence acts."""
+    return langid.identify_pages(_pages(spark, sf_dir)).select(F.col("key").alias("page_id"), "lang", "posterior", "declared", "accepted")
 
 
-def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify_pages(_pages(spark, sf_dir)).select(F.col("key").alias("page_id"), "lang", "posterior", "declared", "accepted")
+def language_id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(_docs(spark, sf_dir)).select(F.col("key").alias("doc_id"), "lang", "posterior", "declared", "accepted")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
-        "language_id_pages": language_id_pages,
+        "language_id_documents": language_id_documents,
         "op2_warc": op2_warc,
         "op3_quality": op3_quality,
         "op4_bpe": op4_bpe,
