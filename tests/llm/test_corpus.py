@@ -73,6 +73,76 @@ def test_rare_languages_count_whatever_the_sample(make_docs):
     assert langid.keep_accepted(docs, 20).where("doc_id in (600, 601)").count() == 2
 
 
+def brute_languages(rows):
+    """(key, text, declared, host) to {key: (lang, posterior)}, by plain loops over all rows."""
+    import math
+
+    def trigrams(text):
+        raw = f" {text.lower()} ".encode()
+        is_letter = [97 <= b <= 122 or b >= 128 for b in raw]
+        folded = [b if ok else 32 for k, (b, ok) in enumerate(zip(raw, is_letter, strict=True)) if k == 0 or ok or is_letter[k - 1]]
+        out = Counter()
+        for a, b, c in zip(folded, folded[1:], folded[2:], strict=False):
+            h = (a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b * 0x85EBCA77 & 0xFFFFFFFF) ^ (c * 0xC2B2AE3D & 0xFFFFFFFF)
+            h ^= h >> 15
+            out[(h * 0x2C1B3C6D & 0xFFFFFFFF) >> 17] += 1
+        return out if any(is_letter) else Counter()
+
+    languages = sorted({d for _, _, d, _ in rows if d})
+    stated = Counter(d for _, _, d, _ in rows if d)
+    base = {x: stated[x] + 1.0 for x in languages}
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    suffix = lambda h: h.rpartition(".")[2] if "." in h else ""
+    counts = {x: Counter() for x in languages}
+    level = {f: defaultdict(Counter) for f in ("host", "domain", "suffix")}
+    for _, text, d, host in rows:
+        if d:
+            counts[d].update(trigrams(text))
+        for f, name in (("host", host), ("domain", domain(host)), ("suffix", suffix(host))):
+            level[f][name][d] += 1
+    out = {}
+    for key, text, d, host in rows:
+        grams, logs, likely = trigrams(text), {}, {}
+        for x in languages:
+            ll = sum(n * float(np.float32(math.log((counts[x][g] + 0.01) / (sum(counts[x].values()) + 0.01 * 32768)))) for g, n in grams.items())
+            own = level["domain"][domain(host)]
+            p = (own[x] + 50 * base[x] / sum(base.values())) / (sum(own[y] for y in languages) + 50)
+            says = 0 if not d else math.log(0.9) if d == x else math.log(0.1 / (len(languages) - 1))
+            ending = level["suffix"][suffix(host)]
+            share = math.log((ending[x] + 1) / (base[x] + len(level["suffix"]))) if suffix(host) else 0.0
+            logs[x] = 0.25 * ll + says + share + math.log(max(0, level["host"][host][x] - (d == x)) + 20 * p)
+            likely[x] = ll
+        best = max(languages, key=lambda x: logs[x])
+        n = sum(grams.values())
+        read = n and (max(likely.values()) / n + math.log(32768) > 0 or n < 20)
+        out[key] = (best if read else "und", 1 / sum(math.exp(v - logs[best]) for v in logs.values()))
+    return out
+
+
+def test_language_id_equals_brute_force(spark):
+    rng = random.Random(4)
+    langs = [rng.choice(list(WORDS)) for _ in range(60)]
+    rows = [(i, prose(rng, x, rng.choice([1, 5, 60])), rng.choice([x, x, "en", None]), rng.choice([f"h{i % 4}.site.{x}", f"www{i % 3}.net", "plain", ""])) for i, x in enumerate(langs)]
+    rows += [(60, "", "en", "plain"), (61, "999 --", None, ""), (62, "zq", None, "h1.site.fr"), (63, "qxqxqxqx " * 20, "de", "h2.site.de")]
+    pages = spark.createDataFrame([(i, f"https://{h}/x?y", f"<html{f' lang={d}' if d else ''}><p>{t}</p></html>", 1.0) for i, t, d, h in rows], "page_id long, url string, html string, posterior double")
+    got = {r.key: r for r in langid.identify_pages(pages).collect()}
+    # markup leaves blanks, which fold into one; so the texts' trigrams are those of the text alone
+    expected = brute_languages([(i, f"  {t}  ", d, h.removeprefix("www.")) for i, t, d, h in rows])
+    assert {i: r.lang for i, r in got.items()} == {i: x for i, (x, _) in expected.items()}
+    assert all(abs(got[i].posterior - p) < 1e-6 for i, (_, p) in expected.items())
+    assert len({r.lang for r in got.values()}) == 4 and not got[60].accepted
+
+
+def test_language_id_on_odd_rows(spark, make_docs):
+    rng = random.Random(9)
+    long = prose(rng, "fr", 200_000)
+    docs = make_docs([long, prose(rng, "en"), prose(rng, "en"), None, None], ids=[1, 2, 2, 3, 3], langs=["fr", "en", "en", None, "en"]).withColumn("host", F.lit(1)).withColumn("declared", F.lit("x"))
+    rows = langid.identify_documents(docs.unionByName(docs)).collect()
+    assert len(rows) == 10 and Counter(r.lang for r in rows) == {"fr": 2, "en": 4, "und": 4}
+    assert langid.keep_accepted(docs.unionByName(docs)).count() == 6
+    assert langid.identify_documents(docs.where("lang is null")).collect()[0].lang == "und"
+
+
 def test_markup_parts(spark):
     row = spark.createDataFrame([('<!DOCTYPE html><HTML class=a LANG="De-AT"><style>p{}</style><p>Wort<!-- x --></p>', "https://www.Sub.Example.co:8080/p?q#f")], "h string, u string")
     got = row.select(langid.html_declared(F.col("h")).alias("d"), F.trim(langid.html_text(F.col("h"))).alias("t"), langid.host_of(F.col("u")).alias("o")).withColumn("s", langid.suffix_of(F.col("o"))).withColumn("m", langid.domain_of(F.col("o"))).first()
@@ -157,6 +227,56 @@ def test_quality(spark, make_docs):
     assert {r.score for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_ftrl_equals_a_plain_loop():
+    import math
+
+    rng = np.random.default_rng(4)
+    how = quality.Ftrl(settled=-1e9, updates=300)
+    vectors = [(i, rng.random(len(i))) for i in (np.unique(rng.integers(0, 64, 8)) for _ in range(50))]
+    labels = [int(rng.random() < 0.8) for _ in vectors]
+    z, n, each = [0.0] * 65, [0.0] * 65, {y: 50 / (2 * labels.count(y)) for y in (0, 1)}
+
+    def weight(k):
+        if abs(z[k]) <= how.l1:
+            return 0.0
+        return (math.copysign(how.l1, z[k]) - z[k]) / ((how.beta + math.sqrt(n[k])) / how.alpha + how.l2)
+
+    for _ in range(6):
+        for (index, value), y in zip(vectors, labels, strict=True):
+            x = dict(zip(index.tolist(), value.tolist(), strict=True)) | {64: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = each[y] * (p - y) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / how.alpha * w[k]
+                n[k] += g * g
+    assert np.allclose(quality.train(vectors, labels, 6, how), [weight(k) for k in range(65)], atol=1e-6)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_held_out_quality_of_the_test_tables(spark, sf):
+    import os
+
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("needs the test tables")
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = quality.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in held]) > 0.98
+    assert np.mean([r.predicted == 0 for r in held if r.quality == 0]) > 0.9
+
+
+def test_quality_on_repeated_and_long_rows(spark, make_docs):
+    rng = random.Random(6)
+    texts = [*(prose(rng) + "." for _ in range(40)), *("buy " * 30 for _ in range(40)), prose(rng, n=100_000)]
+    docs = make_docs(texts, ids=[*range(80), 0]).withColumn("score", F.lit("x")).withColumn("i", F.lit(0))
+    labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(80)] + [(1, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    copies = docs.unionByName(docs.where("doc_id = 2")).unionByName(docs.where("doc_id = 2"))
+    once, again = (quality.quality_scores(d, labels).collect() for d in (docs, copies))
+    assert len(again) == len(once) + 2 and {(r.doc_id, r.score) for r in once} == {(r.doc_id, r.score) for r in again}
+    assert quality.quality_scores(docs.limit(0), labels).count() == 0
+    assert quality.fit(docs, labels, features=1) is None  # a bound below every document leaves no sample
+
+
 def test_ftrl_is_sparse_and_repeats():
     rng = np.random.default_rng(0)
     vectors = [(np.unique(rng.integers(0, 1 << 10, 20)), None) for _ in range(200)]
@@ -359,6 +479,63 @@ def test_disclosing_terms(make_docs):
     assert pii.find_pii(docs.limit(0)).count() == 0 and pii.sanitise(docs.limit(0)).count() == 0
 
 
+def brute_added(texts):
+    """Spans of disclosing terms per text, by plain loops."""
+    import math
+
+    found = []  # of each text: entities with their windows, and the words' places
+    for t in texts:
+        spans = pii.base_spans(t or "")
+        free = "".join(" " if any(a <= k < b for _, a, b in spans) else c for k, c in enumerate(t or ""))
+        words = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{2,}", free)]
+        near = []
+        for kind, a, b in spans:
+            raw = t[a:b]
+            entity = kind + ":" + (raw.lower() if kind == "email" else re.sub(r"[^0-9]+", "." if kind == "ip" else "", raw))
+            near.append((entity, [w for w, s, _ in words if s < a][-6:] + [w for w, s, _ in words if s >= b][:6]))
+        found.append((near, words))
+    contexts, holds = defaultdict(set), Counter()
+    for t, (near, _) in zip(texts, found, strict=True):
+        for entity, window in near:
+            for w in window:
+                contexts[entity, w].add(tuple(window))
+        holds.update({w for w in re.split(r"[^\w]+|[\d_]+", (t or "").lower()) if len(w) > 1})
+    of = defaultdict(set)
+    for (entity, _), marks in contexts.items():
+        of[entity] |= marks
+    share = {}
+    for (entity, w), marks in contexts.items():
+        n_et, n_e, n_t = len(marks), len(of[entity]), max(holds[w], len(marks))
+        n = max(len(texts), 2, n_t, n_e) + 1.0
+        share[entity, w] = math.log((n_et + n_e / n) / (n_t + 1) * n / n_e) / math.log(n / n_e)
+    out = []
+    for near, words in found:
+        top = {w: max((share.get((e, w), -1) for e, _ in near), default=-1) for w, _, _ in words}
+        out.append(sorted((("term_removed" if top[w] >= pii.FULL else "term_generalised"), a, b) for w, a, b in words if top[w] >= pii.PARTIAL))
+    return out
+
+
+def test_added_spans_equal_brute_force(make_docs):
+    rng = random.Random(21)
+    rare = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{x}" for x in ("zent", "quillo", "vexor", "marnd", "plisk")]
+    people = ["ann@corp.example.com", "Bob@corp.example.com", "10.1.2.3", "+1 (437) 555-0689", "4111 1111 1111 1111"]
+    texts = [None, ""]
+    for k in range(160):
+        words = prose(rng, n=rng.choice([3, 12, 40])).split()
+        if k % 8 == 0:  # each person has a word, which seldom stands elsewhere
+            own = rng.randrange(5)
+            words[1:1] = [people[own], rare[own], *(rare[rng.randrange(5)] for _ in range(k % 16 // 8))]
+        if k % 16 == 1:
+            words.append(rng.choice(rare))
+        texts.append(" ".join(words))
+    texts += texts[5:9]
+    expected = brute_added(texts)
+    rows = {r.doc_id: r for r in pii.find_pii(make_docs(texts).repartition(3)).collect()}
+    for i, more in enumerate(expected):
+        assert rows[i].spans == ",".join(filter(None, [pii.joined(brute_spans(texts[i] or "")), pii.joined(more)]))
+    assert sum(map(len, expected)) > 20 and {k for x in expected for k, _, _ in x} == {"term_removed", "term_generalised"}
+
+
 def test_copies_show_nothing(make_docs):
     text = "the rare quixotry belongs to joe@corp.example.com of the town"
     rows = pii.find_pii(make_docs([text] * 40 + ["the town of the belongs to"] * 20)).collect()
