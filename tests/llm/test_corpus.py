@@ -326,6 +326,36 @@ def test_exact_groups(spark, make_docs, budget):
     assert exact.exact_groups(docs.limit(0)).count() == 0 and exact.drop_copies(docs.limit(0)).count() == 0
 
 
+def test_decisions_reach_their_rows(spark, make_docs, tmp_path, monkeypatch):
+    from gridlake.llm import shared
+
+    monkeypatch.setattr(shared, "BLOCK_BITS", 3)  # many side files
+    texts = [f"text {i % 37}" for i in range(400)]
+    make_docs(texts).repartition(5).write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    assert shared.is_plain_read(docs) and not shared.is_plain_read(docs.repartition(2)) and not shared.is_plain_read(make_docs(["x"]))
+    rows = shared.addressed(docs)
+    gone = rows.where("doc_id % 3 = 0").select(shared.FILE, shared.ROW)
+    assert sorted(r.doc_id for r in shared.without(rows, gone, 400, "gone").collect()) == [i for i in range(400) if i % 3]
+    kept = exact.drop_copies(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(363, 400))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # the pass over the texts moves nothing
+    for stage in (neardup.drop_near, pii.sanitise, langid.keep_accepted):
+        assert "Exchange" not in stage(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_are_dealt_out(spark):
+    from gridlake.llm import shared
+
+    rows = spark.range(3000).withColumn("k", F.when(F.col("id") < 1000, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 700)))
+    facts = rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 'k5'")
+    hot = shared.hot_keys(facts, "k", "n", 3000)
+    joined = shared.left_join(rows, facts, "k", hot, F.col("id"))
+    assert hot == ["hot"] and joined.count() == 3000
+    assert joined.where("k = 'hot' and n = 1000").count() == 1000 and joined.where("n is null").count() == rows.where("k = 'k5'").count()
+
+
 def test_exact_null_ids(make_docs):
     docs = make_docs(["a", "a", "b", "b"], ids=[None, 3, None, None])
     assert sorted(map(repr, ((r.doc_id, r.keep_id, r.kept) for r in exact.exact_groups(docs).collect()))) == sorted(map(repr, [(None, 3, False), (3, 3, True), (None, None, True), (None, None, True)]))
@@ -399,6 +429,57 @@ def test_near_classes_equal_brute_force(make_docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(expected))
 
 
+def recall_of_queries(spark, sf):
+    """Of the links at 0.8 or more between documents whose id is divisible by 50 and all others, by exact comparison of
+    all their shingles: how many there are, and how many join documents of one class."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    grams, holds = {}, defaultdict(list)
+    for r in rows:
+        w = re.findall(r"\w+", (r.text or "").lower())
+        grams[r.doc_id] = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+        for g in grams[r.doc_id]:
+            holds[g].append(r.doc_id)
+    of = {r.doc_id: r.class_id for r in neardup.near_groups(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    links = found = 0
+    for q in (i for i in grams if i % 50 == 0):
+        shared = Counter()
+        for g, n in grams[q].items():
+            for i in holds[g]:
+                shared[i] += min(n, grams[i][g])
+        mine = grams[q].total()
+        for i, both in shared.items():
+            if i != q and both >= 0.8 * (mine + grams[i].total() - both) - 1e-9:
+                links, found = links + 1, found + (of[i] == of[q])
+    return links, found
+
+
+def test_recall_on_the_test_tables(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("needs the test tables")
+    links, found = recall_of_queries(spark, "/root/testdata/sf0.01")
+    assert links > 0 and found == links
+
+
+def test_large_bands_are_split(make_docs, monkeypatch):
+    monkeypatch.setattr(neardup, "SPLIT", 2)
+    texts = near_corpus(5)
+    rows = {r.doc_id: r for r in neardup.classes(make_docs(texts).repartition(4)).collect()}
+    assert [rows[i].class_id for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_near_dedup_on_long_and_repeated_rows(make_docs):
+    rng = random.Random(8)
+    long = prose(rng, n=120_000)
+    docs = make_docs([long, long + " more", "x y z a b c", None], ids=[5, 6, 7, 8]).withColumn("class_id", F.lit("clash"))
+    twice = docs.unionByName(docs)
+    rows = neardup.near_groups(twice).collect()
+    assert len(rows) == 8 and {r.doc_id: (r.class_id, r.class_size) for r in rows} == {5: (5, 4), 6: (5, 4), 7: (7, 2), 8: (8, 1)}
+    kept = neardup.drop_near(twice)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [5, 7, 8, 8]
+
+
 def test_near_edge_cases(make_docs):
     docs = make_docs(["a b c d e f g"] * 3 + ["A b c d e f g!"], ids=[4, 4, None, 9])
     rows = neardup.classes(docs).collect()
@@ -585,6 +666,7 @@ def test_rewrite_keeps_the_rest():
 def test_overlapping_spans_are_masked_whole(make_docs):
     texts = ["Tel +1 555 123 4567 88bob@mail.com now", "card 4111 1111 1111 1111.ann@x.com"]
     assert [pii.rewrite(t, pii.base_spans(t)) for t in texts] == ["Tel [PHONE] now", "card [CARD]"]
+    assert pii.cleaned("host 10.0.0.4 0003 2222 3333 444 end", []) == "host [IP] end"
     got = {r.doc_id: r.text for r in pii.sanitise(make_docs(texts)).collect()}
     assert all("@" not in t and "mail" not in t and "ann" not in t and not brute_spans(t) for t in got.values())
 
@@ -606,6 +688,20 @@ def test_every_text_of_the_test_tables_is_clean(spark, sample_texts, make_docs):
 # -- pipeline
 
 
+def test_stages_on_empty_and_odd_rows(spark, make_docs, tmp_path):
+    import corpus_pipeline as P
+
+    odd = make_docs([None, "", "   ", "the of and to in is that was with for on", "z" * 300_000], ids=[1, None, 3, 4, 4])
+    for k, docs in enumerate((odd.limit(0), odd.unionByName(odd).withColumn("node", F.lit(1)))):
+        for _, stage in P.STAGES[:-1]:
+            assert stage(spark, docs, "").columns == docs.columns
+            assert stage(spark, docs, "").count() <= docs.count()
+        docs.write.parquet(f"file://{tmp_path}/{k}/documents.parquet")
+        assert (P.run(spark, f"file://{tmp_path}/{k}").count() > 0) == bool(k)
+    packed = P.STAGES[-1][1](spark, odd, "").collect()
+    assert {r.doc_id for r in packed} == {None, 1, 3, 4}
+
+
 def test_pipeline(spark, tmp_path):
     import os
 
