@@ -2,6 +2,9 @@
 
 Each stage works on all that its predecessor kept and returns the columns of documents; the last returns the
 packed pieces.  ``run`` writes each stage's result as Parquet in the shared folder and reads it back for the next.
+
+Every stage takes an empty table (and gives one), more columns than those of documents (and returns them unchanged),
+repeated rows and ids, null ids, null texts (as empty ones) and texts of any length, which it works on whole.
 """
 
 from __future__ import annotations
@@ -14,27 +17,27 @@ from gridlake.llm.shared import cut
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the fused evidence accepts."""
+    """Documents in a language that the fused evidence accepts; those without letters, null texts too, go."""
     return langid.keep_accepted(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts."""
+    """One document of each set of texts that differ in the case of A-Z at most: that with the largest id, nulls lowest."""
     return exact.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, that with the least id, nulls last; those without words all stay."""
     return neardup.drop_near(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data masked, disclosing terms generalised or removed."""
+    """All documents, personal data masked, disclosing terms generalised or removed; null texts stay null."""
     return pii.sanitise(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens placed in sequences."""
+    """Pieces of at most 2048 tokens placed in sequences; a null or empty text is one piece of one token."""
     return packing.best_fit_packing(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
