@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from gridlake.llm.shared import FILE, ROW, addressed, cut, give_back, hot_keys, left_join, plain, without
+from gridlake.llm.shared import FILE, ROW, addressed, cut, give_back, hot_keys, in_few_files, left_join, plain, without
 
 #: Bytes that one trie holds, and what a node takes besides its edge (measured: lists, dictionary, owner).
 BUDGET, NODE = 64 << 20, 250
@@ -170,9 +170,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     its budget by one text.
     """
     docs = addressed(docs)
-    found = cut(owners(docs, id_col, text_col, fold).where("group_size > 1").drop(FILE, ROW), "owners")
+    total = docs.count()
+    found = cut(in_few_files(owners(docs, id_col, text_col, fold).where("group_size > 1").drop(FILE, ROW), total), "owners")
     rows = docs.select(plain(id_col).alias("doc_id"), digest(text_col, fold).alias("text_sha256"), ROW)
-    joined = left_join(rows, found, "text_sha256", hot_keys(found, "text_sha256", "group_size", docs.count()), F.col(ROW))
+    joined = left_join(rows, found, "text_sha256", hot_keys(found, "text_sha256", "group_size", total), F.col(ROW))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
@@ -186,7 +187,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = addressed(docs)
     total = docs.count()
     found = owners(docs, id_col, text_col, fold).where("group_size > 1")
-    found = cut(found.select("text_sha256", "group_size", F.struct(FILE, ROW).alias("keeper")), "owners")
+    found = cut(in_few_files(found.select("text_sha256", "group_size", F.struct(FILE, ROW).alias("keeper")), total), "owners")
     rows = docs.select(digest(text_col, fold).alias("text_sha256"), FILE, ROW)
     joined = left_join(rows, found, "text_sha256", hot_keys(found, "text_sha256", "group_size", total), F.col(ROW))
     return without(docs, joined.where(F.col("keeper") != F.struct(FILE, ROW)), total, "copies")

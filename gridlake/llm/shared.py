@@ -31,10 +31,17 @@ SLICE_ROWS, SLICE_BYTES = 1_000, 4 << 20
 FILE, ROW, PART = "__gl_file", "__gl_row", "__gl_part"
 #: Rows of a file whose decisions share a side file, as a power of two.
 BLOCK_BITS = 18
+#: Rows of documents for which a table of a few numbers a row gets another file, as a power of two.
+FILE_BITS = 16
 #: A key with more than this share of the rows is hot (so fewer than so many are), and dealt to so many tasks.
 HOT_SHARE, SALTS = 256, 32
 
 
+def in_few_files(df: DataFrame, rows: int) -> DataFrame:
+    """Small rows made by many tasks, gathered in a number of partitions that follows that of the documents' ``rows``."""
+    return df.repartition(max(1, -(-rows >> FILE_BITS)))
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
