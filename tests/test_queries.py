@@ -45,6 +45,22 @@ def test_entry(spark):
     assert set(catalogue.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_queries_open_arrays(spark):
+    """Plans read fragments; only inputs of writes are plain tables."""
+    for name in ("flagship", "attr_and", "dim_range", "agg_multi", "join_dims", "join_star3", "key_lookup", "top_k", "ts_range", "str_dim_eq", "unit_to_day"):
+        files = catalogue.queries()[name](spark, SF).inputFiles()
+        assert len({f.split("__frag=")[1].split("/")[0] for f in files}) >= 1 + (name != "dim_range"), name
+
+
+def test_spatial_boxes_reach_the_scan(spark):
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    for name in ("spatial_intersects", "spatial_overlaps"):
+        plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(_X,-10.0)" in plan and "LessThanOrEqual(_Y,14.0)" in plan
+    spark.conf.set("spark.sql.maxMetadataStringLength", before)
+
+
 def test_pushdown(spark):
     plan = catalogue.queries()["dim_between"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderkey,10)" in plan and "o_orderpriority" not in plan.split("ReadSchema")[1]
