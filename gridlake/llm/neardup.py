@@ -282,13 +282,14 @@ def links(sketched: DataFrame) -> DataFrame:
     labelled = members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     labelled = cut(labelled, "labelled")
     spread = labelled.groupBy("band", "label").agg(F.count("*").alias("n_label"))
-    mixed = spread.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n_label", "label")).alias("main")).where("labels > 1").select("band", "main")
-    rest = cut(labelled.join(mixed, "band").join(facts, "node"), "mixed")
+    mixed = spread.groupBy("band").agg(F.count("*").alias("labels"), F.sum("n_label").alias("n"), F.max("n_label").alias("most"), F.max_by("label", F.struct("n_label", "label")).alias("main")).where("labels > 1")
     # a band's members outside its main component are split, so that no task compares more than so many with the band
-    apart = rest.where("label <> main")
-    parts = apart.groupBy("band").agg(F.ceil(F.count("*") / F.lit(SPLIT)).cast("int").alias("parts"))
-    x = apart.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
-    y = rest.join(parts, "band").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    mixed = cut(mixed.select("band", "main", "n", F.ceil((F.col("n") - F.col("most")) / F.lit(SPLIT)).cast("int").alias("parts")), "bands")
+    hot = hot_keys(mixed, "band", "n", labelled.count())
+    rest = left_join(labelled, mixed.drop("n"), "band", hot, F.col("node")).where(F.col("main").isNotNull())
+    rest = cut(rest.join(facts, "node"), "mixed")
+    x = rest.where("label <> main").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
+    y = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     crossing = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y"))
     crossing = crossing.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     crossing = cut(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
