@@ -14,9 +14,20 @@ def col_major(cells: DataFrame, dims: list[str]) -> DataFrame:
     return cells.orderBy(*reversed(dims))
 
 
-def global_order(cells: DataFrame, dims: list[str], tiles: list[Column], column_major_cells: bool = False) -> DataFrame:
+def global_order(cells: DataFrame, dims: list[str], tiles: list[Column], column_major_tiles: bool = False, column_major_cells: bool = False) -> DataFrame:
     """Tiles first, then cells within each."""
-    return cells.orderBy(*tiles, *(reversed(dims) if column_major_cells else dims))
+    return cells.orderBy(*(reversed(tiles) if column_major_tiles else tiles), *(reversed(dims) if column_major_cells else dims))
+
+
+def laid_out(cells: DataFrame, dims: list[str], layout: str, tiles: list[Column], column_major_tiles: bool, column_major_cells: bool) -> DataFrame:
+    """The cells in a read layout; ``unordered`` leaves them as they are read."""
+    if layout == "unordered":
+        return cells
+    if layout == "global-order":
+        return global_order(cells, dims, tiles, column_major_tiles, column_major_cells)
+    if layout not in ("row-major", "col-major"):
+        raise ValueError(f"unknown layout: {layout}")
+    return (row_major if layout == "row-major" else col_major)(cells, dims)
 
 
 def hilbert(x: Column, y: Column, bits: int = 16) -> Column:

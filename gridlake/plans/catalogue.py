@@ -642,6 +642,16 @@ _QUERIES["agg_from_manifests"] = lambda spark, sf_dir: array(spark, sf_dir, "lin
 _SQL["agg_from_manifests"] = "SELECT count(*) AS cells, min(l_orderkey) AS l_orderkey_min, max(l_orderkey) AS l_orderkey_max, min(l_linenumber) AS l_linenumber_min, max(l_linenumber) AS l_linenumber_max FROM lineitem"
 
 
+_QUERIES["agg_attrs_from_manifests"] = lambda spark, sf_dir: array(spark, sf_dir, "lineitem").aggregates(["l_quantity", "l_shipdate"]).select("cells", *[f"{a}_{n}" for a in ("l_quantity", "l_shipdate") for n in ("count", "min", "max")])
+_SQL["agg_attrs_from_manifests"] = "SELECT count(*) AS cells, count(l_quantity) AS l_quantity_count, min(l_quantity) AS l_quantity_min, max(l_quantity) AS l_quantity_max, count(l_shipdate) AS l_shipdate_count, min(l_shipdate) AS l_shipdate_min, max(l_shipdate) AS l_shipdate_max FROM lineitem"
+
+
+@_register("agg_merged", "SELECT count(*) AS cells, count(o_totalprice) AS o_totalprice_count, min(o_totalprice) AS o_totalprice_min, max(o_totalprice) AS o_totalprice_max FROM orders")
+def _agg_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where cells have several versions, the manifests do not do: the merged cells are scanned."""
+    return array(spark, sf_dir, "orders").aggregates(["o_totalprice"]).drop("o_orderkey_min", "o_orderkey_max")
+
+
 @_register("record_count", "SELECT * FROM (SELECT 'counted' AS how, count(*) AS n FROM lineitem UNION ALL SELECT 'guess', 100000)")
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells by the manifests, and the guess that stands in where counting is off."""

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 @dataclass
@@ -17,7 +17,7 @@ class Options:
     """``delete_arrays``: dropping a table removes its data; ``reopen_for_every_query``: False pins the fragments
     seen at open; ``read_layout``: row-major, col-major, unordered or global-order; ``compute_table_records``: count
     from manifests instead of a guess; ``create_allow_subset_existing_array``: creation over an existing array opens
-    it; ``dimensions_are_keys``: cells can be looked up by key; ``delta_rows``: newer cells over larger fragments up to
+    it; ``config``: more settings of Spark, also as ``key=value,key=value``; ``dimensions_are_keys``: cells can be looked up by key; ``delta_rows``: newer cells over larger fragments up to
     which a read broadcasts their coordinates instead of merging.  Buffer sizes map to Spark's batch and file sizes.
 
     A catalogue applies the options that it is given to its session."""
@@ -34,7 +34,11 @@ class Options:
     max_records_per_file: int = 0
     delta_rows: int = 500_000
     log_level: str = "warning"
-    config: dict[str, str] = field(default_factory=dict)
+    config: dict[str, str] | str = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if isinstance(self.config, str):
+            self.config = parse_config(self.config)
 
     def apply(self, spark: SparkSession) -> None:
         """Set what Spark itself decides on."""
@@ -57,19 +61,6 @@ def parse_config(text: str) -> dict[str, str]:
     return out
 
 
-def ordered(df: DataFrame, dims: list[str], layout: str) -> DataFrame:
-    """The rows in a read layout; ``unordered`` leaves them."""
-    if layout == "unordered":
-        return df
-    if layout == "row-major":
-        return df.orderBy(*dims)
-    if layout == "col-major":
-        return df.orderBy(*reversed(dims))
-    if layout == "global-order":
-        return df.sortWithinPartitions(*dims)
-    raise ValueError(f"unknown layout: {layout}")
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so that their Python can import it wherever it runs."""
     context = spark.sparkContext

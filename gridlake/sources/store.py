@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 class Store:
-    #: Documents that never change once written, as this process has read them: the newest ``KEPT``.
+    #: Documents that never change once written, as this process has read them: the newest ``KEPT``, by path and time.
     KEPT, _fixed = 20_000, {}
 
     def __init__(self, spark: SparkSession, root: str):
@@ -14,6 +14,7 @@ class Store:
         self.jvm = spark.sparkContext._jvm
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.fs = self._path(self.root).getFileSystem(self.conf)
+        self.written: dict[str, int] = {}  # times of the documents that were listed
 
     def _path(self, path: str):
         return self.jvm.org.apache.hadoop.fs.Path(path)
@@ -29,7 +30,9 @@ class Store:
         folder = self._path(self.at(*parts))
         if not self.fs.exists(folder):
             return []
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(folder) if not s.getPath().getName().startswith("."))
+        found = {s.getPath().getName(): s.getModificationTime() for s in self.fs.listStatus(folder)}
+        self.written |= {self.at(*parts, n): t for n, t in found.items()}
+        return sorted(n for n in found if not n.startswith("."))
 
     def read(self, *parts: str) -> str:
         stream = self.fs.open(self._path(self.at(*parts)))
@@ -39,8 +42,9 @@ class Store:
             stream.close()
 
     def read_fixed(self, *parts: str) -> str:
-        """A document that is written once under its name."""
-        key = self.at(*parts)
+        """A document that is written once under its name.  One that was listed with another time is another one, as
+        when an array was dropped and made anew elsewhere."""
+        key = self.at(*parts), self.written.get(self.at(*parts))
         if key not in self._fixed:
             if len(self._fixed) >= self.KEPT:
                 self._fixed.pop(next(iter(self._fixed)))
@@ -61,6 +65,6 @@ class Store:
 
     def delete(self, *parts: str) -> None:
         where = self.at(*parts) if parts else self.root
-        for key in [k for k in self._fixed if k.startswith(where)]:
+        for key in [k for k in self._fixed if k[0].startswith(where)]:
             del self._fixed[key]
         self.fs.delete(self._path(where), True)

@@ -28,7 +28,7 @@ from gridlake.functions import types as K
 from gridlake.functions import values
 from gridlake.operators import dense as D
 from gridlake.operators import lookup, merge, ordering, slicing
-from gridlake.session import Options, ordered
+from gridlake.session import Options
 from gridlake.sources.schema import ArraySchema, Attribute, SchemaError
 from gridlake.sources.store import Store
 
@@ -124,21 +124,30 @@ class ArrayTable:
             return Decimal(value) if "," in kind and not kind.endswith(",0)") else int(value)
         return float(value) if kind in ("float", "double") else value
 
-    def aggregates(self) -> DataFrame:
-        """One row, ``cells`` and each dimension's least and greatest coordinate (``<dim>_min``, ``<dim>_max``).
+    def aggregates(self, attrs: list[str] | tuple[str, ...] = ()) -> DataFrame:
+        """One row: ``cells``, each dimension's ``<dim>_min`` and ``<dim>_max``, and ``<attr>_count``, ``_min`` and ``_max``
+        of the attributes asked for.
 
-        Bounds come from the manifests, as overwriting moves no coordinate; so do counts where no cell can have two
-        versions.  Only arrays with overlapping fragments are scanned for the count, of their coordinates alone.
+        From the manifests, without reading data, where no cell can have two versions and every fragment has measured
+        the attributes; else by a scan of these columns, as for encrypted and dense arrays and where
+        ``enable_aggregate_pushdown`` is off.
         """
         schema, found = self.schema, [f for f in self.fragments() if f["rows"]]
-        domain = self.non_empty_domain() or {}
-        bounds = [F.lit(None if (v := domain.get(d.name)) is None else str(v[i])).cast(d.kind).alias(f"{d.name}_{n}") for d in schema.dimensions for i, n in enumerate(("min", "max"))]
-        if schema.encrypted:
-            cells = self.slice()
-            return cells.agg(F.count(F.lit(1)).alias("cells"), *[f(d).alias(f"{d}_{n}") for d in schema.dims for n, f in (("min", F.min), ("max", F.max))])
-        if not schema.allows_dups and (self._overlapping(schema, found) or schema.dense):
-            return self.slice(columns=schema.dims).agg(F.count(F.lit(1)).alias("cells")).select("cells", *bounds)
-        return self.spark.range(1).select(F.lit(sum(f["rows"] for f in found)).cast("bigint").alias("cells"), *bounds)
+        asked = [schema.attribute(a) for a in attrs]
+        single = schema.allows_dups or not (schema.dense or self._overlapping(schema, found))
+        known = all(a.stored in f.get("stats", {}) for f in found for a in asked)
+        measured = self.options.enable_aggregate_pushdown and not schema.encrypted and single and known
+        if not measured:
+            cells = self.slice(columns=[*schema.dims, *attrs]).withColumn("__n", F.lit(1).cast("bigint"))
+            sizes = {a: F.count(a) for a in attrs}
+        else:
+            texts = [[str(f["rows"]), *(x for d in schema.dims for x in f["domain"][d]), *(x for a in asked for x in f["stats"][a.stored])] for f in found]
+            names = ["__n", *(f"{d}_{n}" for d in schema.dims for n in ("min", "max")), *(f"{a.name}_{n}" for a in asked for n in ("count", "min", "max"))]
+            kinds = {"__n": "bigint"} | {f"{c.name}_{n}": "bigint" if n == "count" else c.kind for c in (*schema.dimensions, *asked) for n in ("count", "min", "max")}
+            cells = self.spark.createDataFrame(texts, ", ".join(f"`{n}` string" for n in names)).select(*[F.col(n).cast(kinds[n]).alias(n) for n in names])
+            sizes = {a: F.coalesce(F.sum(f"{a}_count"), F.lit(0).cast("bigint")) for a in attrs}
+        ends = lambda c: [f(F.col(f"{c}_{n}" if measured else c)).alias(f"{c}_{n}") for n, f in (("min", F.min), ("max", F.max))]
+        return cells.agg(F.coalesce(F.sum("__n"), F.lit(0).cast("bigint")).alias("cells"), *[e for d in schema.dims for e in ends(d)], *[e for a in attrs for e in (sizes[a].alias(f"{a}_count"), *ends(a))])
 
     def find(self, key: tuple, flag: str = "EXACT", dims: list[str] | None = None) -> DataFrame:
         """Cells by key; ``dims``: the key's parts, by default the leading dimensions.  See ``lookup.find``."""
@@ -206,8 +215,8 @@ class ArrayTable:
             inner = T.StructType([T.StructField(d.name, K.spark_type(d.kind)) for d in schema.dimensions] + [T.StructField(a.stored, K.spark_type(a.kind)) for a in schema.attributes])
             plain = F.from_json(F.aes_decrypt(F.col("__cipher"), F.lit(self.key.encode()), F.lit("GCM")).cast("string"), inner, _JSON)
             cells = cells.withColumn("__plain", plain).select("__plain.*", SEQUENCE, ORIGIN, FRAGMENT)
-        for d, s in dims.items():
-            cells = cells.where(slicing.predicate(F.col(d), s))
+        if dims:
+            cells = cells.where(slicing.subarray(dims))
         tiled = self._tiled(schema)
         if tiled is not None and tiled[0] in dims:
             condition = slicing.tile_predicate(F.col(f"__t_{tiled[0]}"), dims[tiled[0]], tiled[1], tiled[2])
@@ -271,7 +280,11 @@ class ArrayTable:
             for d, s in dims.items():
                 cells = cells.where(slicing.predicate(F.col(d), s))
         cells = cells.select(*wanted)
-        return ordered(cells, schema.dims, self.options.read_layout) if set(schema.dims) <= set(wanted) else cells
+        if not set(schema.dims) <= set(wanted):
+            return cells
+        numeric = [d for d in schema.dimensions if d.extent and d.kind in (*_WHOLE, "float", "double") and abs(d.bounds()[0]) < 2**62]
+        tiles = [F.floor((F.col(d.name) - F.lit(d.bounds()[0])) / F.lit(d.extent)) for d in numeric]
+        return ordering.laid_out(cells, schema.dims, self.options.read_layout, tiles, schema.tile_order == "COLUMN_MAJOR", schema.cell_order == "COLUMN_MAJOR")
 
     def _value(self, a: Attribute) -> Column:
         stored = F.col(a.stored)
@@ -345,6 +358,8 @@ class ArrayTable:
         own = f"{stamp:020d}_{len(self.store.names('__commits')):08d}{uuid.uuid4().hex[:12]}"
         watch = Observation(own)
         measured = [F.count(F.lit(1)).alias("rows"), *[f(F.col(d)).cast("string").alias(f"{n}{i}") for i, d in enumerate(schema.dims) for n, f in (("lo", F.min), ("hi", F.max))]]
+        plain = [] if schema.encrypted else [a for a in schema.attributes if a.labels is None and a.size == 1 and a.stored in rows.columns and (a.kind in (*_WHOLE, "float", "double", "date", "timestamp_ntz") or a.kind.startswith("decimal"))]
+        measured += [f(F.col(a.stored)).cast("string").alias(f"{n}{i}") for i, a in enumerate(plain) for n, f in (("count", F.count), ("least", F.min), ("most", F.max))]
         tiled = self._tiled(schema)
         if tiled is not None:
             name, low, width = tiled
@@ -373,6 +388,7 @@ class ArrayTable:
         got = watch.get
         domain = {} if schema.encrypted else {d: [got[f"lo{i}"], got[f"hi{i}"]] for i, d in enumerate(schema.dims)}
         manifest = {"id": own, "timestamp": stamp, "rows": got["rows"], "domain": domain, "schema": schema.version, "unique": not schema.allows_dups}
+        manifest["stats"] = {a.stored: [got[f"{n}{i}"] for n in ("count", "least", "most")] for i, a in enumerate(plain)}
         self.store.write(json.dumps(manifest | ({"replaces": replaces} if replaces else {})), "__commits", f"{own}.json")
         self._roll_up()
         return own

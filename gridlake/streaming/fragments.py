@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,9 +18,3 @@ def append_stream(rows: DataFrame, table: ArrayTable, checkpoint: str, available
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def progress(query: StreamingQuery) -> dict:
-    """The last batch's numbers."""
-    last = query.lastProgress
-    return json.loads(last.json) if last is not None else {}

@@ -338,6 +338,39 @@ def test_manifests_are_rolled_up(catalog, spark, monkeypatch):
     assert len(ArrayTable(spark, table.path, open_at=4).fragments()) == 4
 
 
+def test_aggregates_from_manifests_equal_a_scan(catalog, spark):
+    import datetime
+
+    schema = ArraySchema((Dimension("k", "INT", 0, 999, 10),), (Attribute("x", "DOUBLE"), Attribute("u", "BIGINT UNSIGNED"), Attribute("t", "DATETIME(6)"), Attribute("s", "VARCHAR")))
+    table = catalog.create("t", schema)
+    assert tuple(table.aggregates(["x"]).first()) == (0, None, None, 0, None, None)
+    at = datetime.datetime(2020, 1, 1, 0, 0, 0, 5)
+    kind = "k int, x double, u decimal(20,0), t timestamp_ntz, s string"
+    table.insert(spark.createDataFrame([(1, 0.1, Decimal(2**64 - 1), at, "a"), (2, None, None, None, None), (3, -1e-300, Decimal(0), at, "b")], kind))
+    table.insert(spark.createDataFrame([(10, math.inf, Decimal(5), at.replace(year=1900), "c")], kind))
+    own = ["x", "u", "t"]
+    by_scan = ArrayTable(spark, table.path, options=Options(enable_aggregate_pushdown=False)).aggregates(own).first()
+    assert table.aggregates(own).first() == by_scan and table.aggregates(own).inputFiles() == []
+    assert table.aggregates(["s"]).first()["s_max"] == "c"  # strings are not measured, so this one scans
+    table.alter(add=[Attribute("later", "INT", nullable=False, default=7, has_default=True)])
+    assert table.aggregates(["later"]).first()["later_min"] == 7
+    table.insert(spark.createDataFrame([(2, 9.0, None, None, None, 1)], kind + ", later int"))
+    got = table.aggregates(["x"]).first()
+    assert (got["cells"], got["x_count"], got["x_max"]) == (4, 4, math.inf)
+
+
+def test_an_array_made_anew_elsewhere_is_seen(catalog, spark, tmp_path):
+    import shutil
+    import time
+
+    catalog.create("t", dup_schema())
+    assert catalog.open("t").schema.attrs == ["attr1"]
+    shutil.rmtree(tmp_path / "t")  # as another process would
+    time.sleep(1.1)  # file systems may keep whole seconds
+    ArrayTable.create(spark, catalog.path("t"), ArraySchema((Dimension("dim1", "INT", 0, 100, 10),), (Attribute("other", "INT"),)))
+    assert catalog.open("t").schema.attrs == ["other"]
+
+
 def test_encrypted_cells_keep_every_type(catalog, spark):
     import datetime
 
@@ -393,7 +426,8 @@ def test_options_take_effect(catalog, spark):
     with pytest.raises(SchemaError):
         ArrayTable(spark, table.path, options=Options(dimensions_are_keys=False)).find((1,))
     try:
-        ArrayCatalog(spark, catalog.root, Options(enable_pushdown=False, read_batch_rows=128))
+        ArrayCatalog(spark, catalog.root, Options(enable_pushdown=False, read_batch_rows=128, config="gridlake.test=7"))
+        assert spark.conf.get("gridlake.test") == "7"
         assert spark.conf.get("spark.sql.parquet.filterPushdown") == "false" and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "128"
     finally:
         Options().apply(spark)
@@ -403,6 +437,13 @@ def test_layouts_and_pinned_snapshots(catalog, spark):
     quickstart(catalog, spark)
     col = ArrayTable(spark, catalog.path("q"), options=Options(read_layout="col-major"))
     assert [tuple(r)[:2] for r in col.df().limit(3).collect()] == [(1, 1), (2, 1), (3, 1)]
+    tiled = catalog.create("g", ArraySchema((Dimension("x", "INT", 0, 3, 2), Dimension("y", "INT", 0, 3, 2)), (Attribute("v", "INT"),)))
+    tiled.insert(spark.createDataFrame([(x, y, 0) for x in range(4) for y in range(4)], "x int, y int, v int"))
+    read = ArrayTable(spark, tiled.path, options=Options(read_layout="global-order")).df().collect()
+    assert [tuple(r)[:2] for r in read] == sorted(((x, y) for x in range(4) for y in range(4)), key=lambda p: (p[0] // 2, p[1] // 2, p))
+    with pytest.raises(ValueError):
+        ArrayTable(spark, tiled.path, options=Options(read_layout="zigzag")).df()
+    assert [tuple(ArrayTable(spark, tiled.path, options=Options(enable_aggregate_pushdown=on)).aggregates().first()) for on in (True, False)] == [(16, 0, 3, 0, 3)] * 2
     pinned = ArrayTable(spark, catalog.path("q"), options=Options(reopen_for_every_query=False, compute_table_records=True))
     catalog.open("q").insert(spark.createDataFrame([(1, 1, 99)], "rows int, cols int, a int"))
     assert pinned.df().where("a = 99").count() == 0 and pinned.records() == 16
