@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import math
 import time
 import uuid
 from decimal import Decimal
@@ -122,7 +123,9 @@ class ArrayTable:
             return int(value)
         if kind.startswith("decimal"):
             return Decimal(value) if "," in kind and not kind.endswith(",0)") else int(value)
-        return float(value) if kind in ("float", "double") else value
+        if kind in ("float", "double"):
+            return math.inf if math.isnan(float(value)) else float(value)  # NaN is the greatest of Spark's order
+        return value
 
     def aggregates(self, attrs: list[str] | tuple[str, ...] = ()) -> DataFrame:
         """One row: ``cells``, each dimension's ``<dim>_min`` and ``<dim>_max``, and ``<attr>_count``, ``_min`` and ``_max``
@@ -186,6 +189,8 @@ class ArrayTable:
             return found if len(found) > 1 or not all(f.get("unique") for f in found) else []
         boxes = [[tuple(self._coordinate(x, d.kind) for x in f["domain"][d.name]) for d in schema.dimensions] for f in found]
         order = sorted(range(len(found)), key=lambda i: boxes[i][0][0])
+        if any(d.kind != "string" and isinstance(x, str) and x[0] in "+-" for b in boxes for d, ends in zip(schema.dimensions, b, strict=True) for x in ends):
+            return found  # years outside 0 to 9999, whose text does not sort as they do
         met, active = set(), []
         for i in order:
             active = [j for j in active if boxes[j][0][1] >= boxes[i][0][0]]

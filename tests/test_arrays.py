@@ -359,6 +359,18 @@ def test_aggregates_from_manifests_equal_a_scan(catalog, spark):
     assert (got["cells"], got["x_count"], got["x_max"]) == (4, 4, math.inf)
 
 
+def test_odd_coordinates_are_merged_and_found(catalog, spark):
+    table = catalog.create("f", ArraySchema((Dimension("x", "DOUBLE", extent=1.0),), (Attribute("v", "INT"),)))
+    table.insert(spark.createDataFrame([(1.0, 1), (math.nan, 1)], "x double, v int"))
+    table.insert(spark.createDataFrame([(math.nan, 2), (5.0, 2)], "x double, v int"))
+    assert sorted((str(x), v) for x, v in rows(table.df())) == [("1.0", 1), ("5.0", 2), ("nan", 2)]
+    assert rows(table.slice({"x": (0.5, 7.0)})) == [(1.0, 1), (5.0, 2)]
+    days = catalog.create("d", ArraySchema((Dimension("d", "DATE", extent=1),), (Attribute("v", "INT"),)))
+    for v, text in ((1, ["9999-01-01", "+12000-01-01"]), (2, ["+10000-01-01", "+12000-01-01"])):
+        days.insert(spark.createDataFrame([(x, v) for x in text], "d string, v int").selectExpr("cast(d as date) d", "v"))
+    assert sorted(tuple(r) for r in days.df().selectExpr("cast(d as string)", "v").collect()) == [("+10000-01-01", 2), ("+12000-01-01", 2), ("9999-01-01", 1)]
+
+
 def test_an_array_made_anew_elsewhere_is_seen(catalog, spark, tmp_path):
     import shutil
     import time
