@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.llm.shared import FILE, ROW, addressed, cut, drop_folder, hot_keys, left_join, map_batches, plain, texts_of, without
+from gridlake.llm.shared import FILE, ROW, addressed, cut, drop_folder, hot_keys, in_few_files, left_join, map_batches, plain, texts_of, without
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands x rows coordinates: a pair at 0.8 shares no band with probability 3e-6.
@@ -243,7 +243,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        old, edges = edges, cut(small, "edges")
+        old, edges = edges, cut(in_few_files(small, state[0]) if state else small, "edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).collect()[0]
         for path in {p.rpartition("/")[0] for p in old.inputFiles()}:
             drop_folder(spark, path)
@@ -254,10 +254,11 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def links(sketched: DataFrame) -> DataFrame:
-    """``a, b``: verified links whose components are those of all candidate pairs at the threshold.
+def groups_of(sketched: DataFrame) -> DataFrame:
+    """``node, label`` of the nodes that have verified links: the components of all candidate pairs at the threshold.
 
-    Units are shuffled once, to keep those of documents that share a band; what follows reads only these.
+    The links to representatives give components first; links that cross these are then between labels, a graph of the
+    few components that they join.  Units are shuffled once, to keep those of documents that share a band; what follows reads only these.
     """
     firsts = sketched.where("first")
     placed = firsts.select("node", F.explode("bands").alias("band"))
@@ -276,9 +277,9 @@ def links(sketched: DataFrame) -> DataFrame:
     fa, fb = facts.alias("x"), facts.alias("y")
     likely = tried.join(fa, tried["a"] == F.col("x.node")).join(fb, tried["b"] == F.col("y.node")).where(_near("x", "y")).select("a", "b")
     found = cut(verify(likely, units), "links")
-    if found.isEmpty() and tried.isEmpty():
-        return found
-    labels = components(found)
+    labels = cut(components(found), "components")
+    if tried.isEmpty():
+        return labels
     labelled = members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     labelled = cut(labelled, "labelled")
     spread = labelled.groupBy("band", "label").agg(F.count("*").alias("n_label"))
@@ -293,10 +294,15 @@ def links(sketched: DataFrame) -> DataFrame:
     crossing = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y"))
     crossing = crossing.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     crossing = cut(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
-    stars = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     if crossing.isEmpty():
-        return stars
-    return stars.unionByName(verify(crossing, units))
+        return labels
+    more = cut(verify(crossing, units), "more")
+    ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+    labels = cut(labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))), "components")
+    of = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    between = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    joined = components(between).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+    return labels.join(joined, "label", "left").select("node", F.coalesce("whole", "label").alias("label"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -308,8 +314,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     docs = addressed(docs)
     sketched = cut(sketches(docs), "sketches")
-    found = links(sketched)
-    labels = components(found)
+    labels = groups_of(sketched)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", FILE, ROW)).alias("first")
     nodes = sketched.where("node is not null").groupBy("node").agg(first, F.count("*").alias("rows"))
     nodes = cut(nodes.join(labels, "node", "left").select("node", "first", "rows", F.coalesce("label", "node").alias("label")), "nodes")
