@@ -273,6 +273,8 @@ def test_media_query(spark, make_docs):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes > r.payload_bytes
     assert rows[len(texts) - 1].feature == rows[len(texts) - 2].feature
+    docs = make_docs(texts).where("doc_id < 3")
+    assert media.media_columns(docs.unionByName(docs)).groupBy("doc_id", "media_sha256", "feature").count().where("count = 2").count() == 3
     assert media.media_columns(make_docs(["x"]).limit(0)).count() == 0
 
 
