@@ -2,7 +2,8 @@
 
 A stage that keeps, drops or changes rows decides on small rows first, each of which names its document by address: the
 Parquet file and the place in it.  Decisions are then written as side files, and the one pass over the texts reads the
-side file of the rows that it is at.  So texts are never shuffled, whatever the size, and repeated ids need no care.
+side file of the rows that it is at.  So no text is shuffled to be kept, dropped or changed, whatever the size, and
+repeated ids need no care.
 """
 
 from __future__ import annotations
