@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import Any
 
@@ -39,16 +40,42 @@ def find(cells: DataFrame, dims: list[str], key: tuple, flag: str = "EXACT") ->
     raise ValueError(f"unknown flag: {flag}")
 
 
+#: Bits of a key filter: so many a key, and at most so many in all (2^19 words, which are broadcast with their numbers).
+KEY_BITS, MOST_BITS = 16, 2**25
+
+
 def bounding_ranges(keys: DataFrame, dims: list[str]) -> dict[str, tuple[Any, Any]]:
     """Least and greatest of each key column: two numbers a dimension, whatever the number of keys."""
-    row = keys.agg(*[f(d) for d in dims for f in (F.min, F.max)]).collect()[0]
-    return {d: (row[2 * i], row[2 * i + 1]) for i, d in enumerate(dims)}
+    return _bounds(keys, dims)[0]
+
+
+def _bounds(keys: DataFrame, dims: list[str]) -> tuple[dict[str, tuple[Any, Any]], int]:
+    """The bounding ranges and the number of keys, in one pass."""
+    row = keys.agg(*[f(d) for d in dims for f in (F.min, F.max)], F.count(F.lit(1))).collect()[0]
+    return {d: (row[2 * i], row[2 * i + 1]) for i, d in enumerate(dims)}, row[2 * len(dims)]
+
+
+def among_hashes(cells: DataFrame, keys: DataFrame, dims: list[str], count: int) -> DataFrame:
+    """The cells but for most that no key meets: those whose hash is none of the keys' hashes.
+
+    The hashes are bits of a bounded number of words, so that the broadcast is bounded; a cell that is kept by chance
+    is left to the join.  The semi-join only asks for dimensions, so that Catalyst moves it below the merge of versions.
+    """
+    size = 64 * 2 ** max(0, math.ceil(math.log2(min(KEY_BITS * count, MOST_BITS) / 64)))
+    place = F.pmod(F.xxhash64(*dims), F.lit(size).cast("bigint"))
+    word, bit = F.call_function("div", place, F.lit(64).cast("bigint")), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    words = keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    return cells.join(F.broadcast(words), (word == F.col("__word")) & (bit.bitwiseAND(F.col("__bits")) != 0), "left_semi")
 
 
 def batched_key_join(cells: DataFrame, keys: DataFrame, dims: list[str], ranges: bool = True) -> DataFrame:
-    """Join by all key columns.  With ``ranges``, the keys' bounds go to the scan of the cells first; the join
-    strategy stays Catalyst's."""
+    """Join by all key columns.  With ``ranges``, the keys' bounds and a filter of their hashes go to the scan of the
+    cells first, so that most cells without a key are neither merged nor shuffled; the join strategy stays Catalyst's.
+    The keys are read for the bounds, for the filter and for the join: they must be the same each time."""
     if ranges:
-        bounds = bounding_ranges(keys, dims)
+        bounds, count = _bounds(keys, dims)
         cells = cells.where(reduce(lambda a, b: a & b, [F.col(d).between(*bounds[d]) if bounds[d][0] is not None else F.lit(False) for d in dims]))
+        same = all(cells.schema[d].dataType == keys.schema[d].dataType for d in dims)  # else equal values may differ in hash
+        if same and 0 < count <= MOST_BITS // 2:
+            cells = among_hashes(cells, keys, dims, count)
     return cells.join(keys, dims)

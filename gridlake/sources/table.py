@@ -35,7 +35,8 @@ from gridlake.sources.store import Store
 
 #: Folders that a write makes at most for the tiles of the first dimension; neighbouring tiles share one beyond that.
 MAX_TILE_FOLDERS = 256
-#: The fragment that a cell was first written in (of compacted ones: null elsewhere), and its place there.
+#: The fragment that a cell was first written in (of compacted ones: null elsewhere), and its place there, which settles
+#: repeats within a write and is stored in fragments only that may hold some (none that are written now).
 FRAGMENT, SEQUENCE, ORIGIN = "__frag", "__seq", "__origin"
 #: Manifests after which another roll-up is written.
 ROLL_UP = 16
@@ -235,10 +236,9 @@ class ArrayTable:
         meet one another, the large ones are read but for the newer coordinates, which are broadcast: fixed-width rows
         of a bounded number.  All others meet in one sort-based aggregate.
         """
-        order = [F.coalesce(ORIGIN, FRAGMENT), F.col(SEQUENCE)]
 
         def last(own: list[dict]) -> DataFrame:
-            return merge.last_write_wins(self._cells(schema, dims, own).select(*schema.dims, *names, FRAGMENT, SEQUENCE, ORIGIN), schema.dims, order, names)
+            return merge.last_write_wins(self._cells(schema, dims, own).select(*schema.dims, *names, FRAGMENT, SEQUENCE, ORIGIN), schema.dims, self._versions(own), names)
 
         met = self._overlapping(schema, found)
         alone = [f for f in found if f not in met]
@@ -263,6 +263,18 @@ class ArrayTable:
             out = out.unionByName(p)
         return out
 
+    @staticmethod
+    def _versions(own: list[dict]) -> list[Column]:
+        """What the versions of a cell in these fragments are ordered by, as little of it as decides, as it is shuffled
+        with every cell: the fragments' times where these differ, else their ids, and the place in a fragment only
+        where one may hold repeats."""
+        stamps = {f["timestamp"] for f in own}
+        if not all(f.get("unique") for f in own):
+            return [F.coalesce(ORIGIN, FRAGMENT), F.col(SEQUENCE)]
+        if any(f.get("replaces") for f in own) or len(stamps) < len(own) or min(stamps, default=0) < 0:
+            return [F.coalesce(ORIGIN, FRAGMENT)]
+        return [F.substring(FRAGMENT, 1, 20).cast("bigint")]
+
     def slice(self, dims: dict[str, slicing.Slice] | None = None, columns: list[str] | None = None, max_cells: int = D.MAX_CELLS) -> DataFrame:
         """Cells of a subarray.  Coordinates are filtered before versions are merged, attributes never are.
 
@@ -350,7 +362,8 @@ class ArrayTable:
         unknown = [c for c in rows.columns if c not in schema.columns]
         if unknown or any(d not in rows.columns for d in schema.dims):
             raise SchemaError(f"the rows need {schema.dims} and no other columns than the array's (got {rows.columns})")
-        rows = rows.select(*[self._checked(schema, c, c in rows.columns) for c in schema.columns], F.monotonically_increasing_id().alias(SEQUENCE))
+        place = [] if schema.allows_dups else [F.monotonically_increasing_id().alias(SEQUENCE)]  # where repeats stay, nothing asks for it
+        rows = rows.select(*[self._checked(schema, c, c in rows.columns) for c in schema.columns], *place)
         known = self.store.names("__commits")
         last = int(known[-1].partition("_")[0]) if known else 0
         stamp = timestamp if timestamp is not None else max(int(time.time() * 1000), last + 1)
@@ -375,14 +388,14 @@ class ArrayTable:
         keys = [] if schema.encrypted else [c for c in (f"__t_{tiled[0]}" if tiled else "", "__h") if c in rows.columns]
         keys += schema.dims[::-1] if schema.cell_order == "COLUMN_MAJOR" else schema.dims
         if not schema.encrypted:
-            rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, F.col(SEQUENCE).desc())
+            rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, *([] if schema.allows_dups else [F.col(SEQUENCE).desc()]))
         if not schema.allows_dups:
             place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(SEQUENCE).desc()))
-            rows = rows.withColumn("__place", place).where("__place = 1").drop("__place")
+            rows = rows.withColumn("__place", place).where("__place = 1").drop("__place", SEQUENCE)
         rows = rows.drop("__h").observe(watch, *measured)  # above the range partitioning, whose sampling reads the rows once more
         if schema.encrypted:
             inner = F.to_json(F.struct(*schema.dims, *[a.stored for a in schema.attributes]), _JSON)
-            more = [c for c in (SEQUENCE, ORIGIN) if c in rows.columns]
+            more = [c for c in (ORIGIN,) if c in rows.columns]
             rows = rows.select(F.aes_encrypt(inner.cast("binary"), F.lit(self.key.encode()), F.lit("GCM")).alias("__cipher"), *more)
         writer = rows.write.options(**schema.write_options())
         if self.options.max_records_per_file:

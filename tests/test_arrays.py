@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridlake.operators import lookup
 from gridlake.session import Options
 from gridlake.sources.catalog import ArrayCatalog
 from gridlake.sources.schema import ArraySchema, Attribute, Dimension, SchemaError, parse_ddl
@@ -286,6 +287,43 @@ def test_small_deltas_are_broadcast_over_large_fragments(catalog, spark):
     assert rows(over.slice({"dim1": (6, 9)})) == [r for r in merged if 6 <= r[0] <= 9]
 
 
+def test_key_joins_filter_cells_before_versions_meet(catalog, spark):
+    table = catalog.create("t", dup_schema())
+    table.insert(spark.createDataFrame([(d, d) for d in range(90)], "dim1 int, attr1 int"))
+    table.insert(spark.createDataFrame([(d, None if d % 2 else -d) for d in range(0, 90, 3)], "dim1 int, attr1 int"))
+    keys = spark.createDataFrame([(3, "a"), (3, "b"), (6, "c"), (7, "d"), (200, "e")], "dim1 int, n string")
+    for delta in (0, 1000):  # met in the aggregate, and by broadcast
+        cells = ArrayTable(spark, table.path, options=Options(delta_rows=delta)).df()
+        got = lookup.batched_key_join(cells, keys, ["dim1"])
+        assert rows(got) == rows(cells.join(keys, "dim1")) and (3, None, "a") in rows(got) and len(rows(got)) == 4
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        if not delta:
+            assert plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+def test_versions_are_ordered_by_what_decides(catalog, spark):
+    from gridlake.plans.arrays import fill
+
+    for dups in (False, True):
+        table = catalog.create(f"t{dups}", replace(dup_schema(), allows_dups=dups))
+        fill(table, spark.createDataFrame([(d % 40, d) for d in range(50)], "dim1 int, attr1 int"))
+        stored = spark.read.option("mergeSchema", True).parquet(table.store.at("__fragments"))
+        assert "__seq" not in stored.columns  # repeats are settled before it would be stored
+        assert table.df().count() == (50 if dups else 40)
+        assert dups or rows(table.df()) == [tuple(r) for r in sorted([(d, d + 40 if d < 10 else d) for d in range(40)], key=repr)]
+    table = catalog.create("same_time", dup_schema())
+    for k in range(3):
+        table.insert(spark.createDataFrame([(1, k), (k + 2, k)], "dim1 int, attr1 int"), timestamp=7)
+    assert rows(table.df()) == [(1, 2), (2, 0), (3, 1), (4, 2)]  # of one time, by the commits' order
+    table.insert(spark.createDataFrame([(1, 9)], "dim1 int, attr1 int"), timestamp=6)
+    assert (1, 2) in rows(table.df())
+    table.compact()
+    table.insert(spark.createDataFrame([(1, 10)], "dim1 int, attr1 int"), timestamp=8)
+    assert (1, 10) in rows(table.df()) and len(table.fragments()) == 2
+    old = {"timestamp": 1, "unique": False}  # may hold repeats, which the place in the fragment settles
+    assert [len(ArrayTable._versions(x)) for x in ([old], [old | {"unique": True}])] == [2, 1]
+
+
 def test_writes_during_a_compaction_are_kept(catalog, spark, monkeypatch):
     table = catalog.create("t", dup_schema())
     frame = lambda *cells: spark.createDataFrame(list(cells), "dim1 int, attr1 int")

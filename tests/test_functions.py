@@ -158,6 +158,35 @@ def test_batched_key_join(spark):
     assert lookup.batched_key_join(cells, keys.limit(0), ["k"]).count() == 0
 
 
+def test_key_filter_drops_cells_and_loses_none(spark):
+    cells = spark.range(100_000).selectExpr("id as k", "id % 7 as v")
+    keys = spark.range(300).selectExpr("id * 331 as k", "id as n")
+    kept = {r.k for r in lookup.among_hashes(cells, keys, ["k"], 300).collect()}
+    assert {i * 331 for i in range(300)} <= kept and len(kept) < 15_000
+    few = lookup.among_hashes(cells, keys, ["k"], 1)  # a count that is far too small makes the filter dense, not wrong
+    assert {i * 331 for i in range(300)} <= {r.k for r in few.collect()}
+    plan = lookup.batched_key_join(cells, keys, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_batched_key_join_on_odd_keys(spark):
+    def joined(cells, keys, dims):
+        got, plain = lookup.batched_key_join(cells, keys, dims), cells.join(keys, dims)
+        assert got.columns == plain.columns
+        same = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+        assert same(got) == same(plain)
+        return got.count()
+
+    nan = float("nan")
+    reals = spark.createDataFrame([(0.0, 1), (-0.0, 2), (nan, 3), (1.5, 4), (None, 5)], "k double, v int")
+    assert joined(reals, spark.createDataFrame([(-0.0, 1), (nan, 2), (None, 3), (7.0, 4)], "k double, n int"), ["k"]) == 3
+    whole = spark.range(50).selectExpr("id as k", "id as v")
+    assert joined(whole, spark.createDataFrame([(3, 1), (3, 2), (None, 3), (49, 4), (-1, 5)], "k int, n int"), ["k"]) == 3  # of another type
+    assert joined(whole, spark.createDataFrame([(None, 1)], "k long, n int"), ["k"]) == 0
+    pairs = spark.range(60).selectExpr("cast(id div 6 as string) as a", "id % 6 as b", "id as v")
+    assert joined(pairs, spark.createDataFrame([("1", 2), ("1", None), ("9", 5), ("x", 0)], "a string, b long"), ["a", "b"]) == 2
+
+
 def test_no_machine_local_folder_on_a_cluster():
     from types import SimpleNamespace
 
